@@ -1,10 +1,12 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
-The test items are the indexed documents and every passage of every training text is a query (windows of ``PASSAGE``
-words that overlap by half, over the whole text).  An item's impacts are its BM25 weights divided by its own total, so
-a passage that holds all of an item's words scores 1 and one threshold serves items of any length.  All items at or
-above ``THRESHOLD`` are retrieved: an upper bound from the terms' largest impacts rules most passages out, bounds of
-item blocks rule out most of the rest, and what remains goes through the cursors of the block-max WAND search itself.
+The test items are the indexed documents and every passage of every training text is a query: windows a little longer
+than the longest item (``PASSAGE`` words at least), a quarter of a window apart, over the whole text, so that some window
+holds nearly all of any item.  An item's impacts are its BM25 weights divided by its own total, so a passage that holds
+all of an item's words scores 1 and one threshold serves items of any length.  All items at or above ``THRESHOLD`` are
+retrieved: the sum of the terms' largest impacts rules out most passages at once, the sums of their largest impacts in
+each block of items rule out most blocks of the others, and the blocks that remain go through the cursors of the
+block-max WAND search.  Items that share their commonest word are kept together, which makes the blocks' bounds tight.
 A retrieved item is verified in the words around the passage: the overlap of its question (all sentences but the
 last) and of its answer (the last sentence), in runs of five words, must reach ``OVERLAP``.
 
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 
 from .common import map_batches
 
-PASSAGE, THRESHOLD, OVERLAP, RUN = 64, 0.5, 0.8, 5
-BLOCK, SHARD_ITEMS, K1, B = 8, 20_000, 1.2, 0.75
+PASSAGE, THRESHOLD, OVERLAP, RUN = 32, 0.6, 0.8, 5
+BLOCK, SHARD_ITEMS, K1, B = 4, 20_000, 1.2, 0.75
 _WORD = re.compile(r"\w+")
 
 
@@ -68,72 +71,95 @@ class Index:
     terms: dict[str, int]
     postings: list[tuple[np.ndarray, np.ndarray]]
     most: np.ndarray
+    block_at: np.ndarray
+    block_no: np.ndarray
     block_most: np.ndarray
-    longest: int = field(default=0)
+    longest: int = 0
 
     @staticmethod
     def build(items: list[tuple[int | None, str | None]]) -> Index:
         items = [(i, t) for i, t in items if words_of(t)]
-        bags = [words_of(t) for _, t in items]
-        terms: dict[str, int] = {}
-        tf: list[dict[int, int]] = []
-        for words in bags:
-            own: dict[int, int] = {}
-            for w in words:
-                k = terms.setdefault(w, len(terms))
-                own[k] = own.get(k, 0) + 1
-            tf.append(own)
-        n, df = len(items), np.zeros(len(terms))
-        for own in tf:
-            df[list(own)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df: dict[str, int] = {}
+        for _, t in items:
+            for w in set(words_of(t)):
+                df[w] = df.get(w, 0) + 1
+        items.sort(key=lambda x: max(set(words_of(x[1])), key=lambda w: (df[w], w)))
+        bags, n = [words_of(t) for _, t in items], len(items)
+        terms = {w: k for k, w in enumerate(df)}
+        idf = {w: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
         mean = sum(map(len, bags)) / max(n, 1)
         lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, own in enumerate(tf):
-            w = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(bags[i]) / mean)) for t, c in own.items()}
-            total = sum(w.values())
-            for t, x in w.items():
-                lists[t].append((i, x / total))
-        postings = [(np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for p in lists]
-        blocks = np.zeros((len(terms), max(1, -(-n // BLOCK))))
-        for t, (ids, x) in enumerate(postings):
-            np.maximum.at(blocks[t], ids // BLOCK, x)
-        return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], terms, postings, blocks.max(axis=1, initial=0), blocks, max(map(len, bags), default=0))
-
-    def search(self, query: list[int], theta: float = THRESHOLD) -> list[tuple[int, float]]:
+        for i, bag in enumerate(bags):
+            own: dict[str, int] = {}
+            for w in bag:
+                own[w] = own.get(w, 0) + 1
+            weight = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(bag) / mean)) for w, c in own.items()}
+            total = sum(weight.values())
+            for w, x in weight.items():
+                lists[terms[w]].append((i, x / total))
+        postings, at, no, most = [], [0], [], []
+        for p in lists:
+            ids, x = np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])
+            postings.append((ids, x))
+            first = np.flatnonzero(np.diff(ids // BLOCK, prepend=-1))
+            no.append(ids[first] // BLOCK)
+            most.append(np.maximum.reduceat(x, first))
+            at.append(at[-1] + len(first))
+        flat = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)]).astype(t)
+        top = np.array([x.max() for x in most])
+        return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], terms, postings, top, np.array(at), flat(no, np.int64), flat(most, np.float64), max(map(len, bags), default=0))
+
+    def bounds(self, window: np.ndarray, query: np.ndarray, windows: int) -> np.ndarray:
+        """The upper bound [window, block] for the distinct terms of each window."""
+        n = self.block_at[query + 1] - self.block_at[query]
+        ends = np.cumsum(n)
+        at = np.repeat(self.block_at[query] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        blocks = max(1, -(-len(self.item_ids) // BLOCK))
+        return np.bincount(np.repeat(window, n) * blocks + self.block_no[at], self.block_most[at], windows * blocks).reshape(windows, blocks)
+
+    def search(self, query: np.ndarray, theta: float = THRESHOLD, bound: np.ndarray | None = None) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least ``theta`` for the distinct terms of a query: block-max WAND."""
-        end = len(self.item_ids)
-        cursors = [[int(self.postings[t][0][0]), 0, t] for t in set(query) if len(self.postings[t][0])]
-        found, eps = [], 1e-9
+        if bound is None:
+            bound = self.bounds(np.zeros(len(query), np.int64), query, 1)[0]
+        end, found, eps = len(self.item_ids), [], 1e-9
+        live = np.flatnonzero(bound >= theta - eps)
+        if not len(live):
+            return found
+        cursors = [[-1, 0, int(t)] for t in query]
 
         def move(c: list[int], to: int) -> None:
             ids = self.postings[c[2]][0]
             c[1] = int(np.searchsorted(ids, to))
             c[0] = int(ids[c[1]]) if c[1] < len(ids) else end
 
+        def skip(to: int) -> int:
+            """The first item from ``to`` on whose block may reach the threshold."""
+            k = int(np.searchsorted(live, to // BLOCK))
+            return end if k == len(live) else max(to, int(live[k]) * BLOCK)
+
+        for c in cursors:
+            move(c, skip(0))
         while True:
             cursors = sorted((c for c in cursors if c[0] < end), key=lambda c: c[0])
-            bound, pivot = 0.0, -1
+            total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.most[c[2]]
-                if bound >= theta - eps:
+                total += self.most[c[2]]
+                if total >= theta - eps:
                     pivot = k
                     break
             if pivot < 0:
                 return found
             doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            block = doc // BLOCK
-            if sum(self.block_most[c[2], block] for c in cursors[: pivot + 1]) < theta - eps:
-                nxt = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end)
+            to = skip(doc)
+            if to > doc:
                 for c in cursors[: pivot + 1]:
-                    move(c, max(nxt, doc + 1))
+                    move(c, to)
             elif cursors[0][0] == doc:
-                score = sum(float(self.postings[c[2]][1][c[1]]) for c in cursors[: pivot + 1])
+                here = [c for c in cursors if c[0] == doc]
+                score = sum(float(self.postings[c[2]][1][c[1]]) for c in here)
                 if score >= theta - eps:
                     found.append((doc, score))
-                for c in cursors[: pivot + 1]:
+                for c in here:
                     move(c, doc + 1)
             else:
                 for c in cursors[:pivot]:
@@ -143,28 +169,34 @@ class Index:
     def matches(self, text: str | None, theta: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
         """Verified (item, best score, question overlap, answer overlap) of a whole text."""
         words = words_of(text)
-        get = self.terms.get
-        tids = np.array([get(w, -1) for w in words], np.int64)
+        tids = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(tids >= 0)
         if not len(at):
             return []
         t = tids[at]
-        step = max(PASSAGE, 2 * self.longest) // 2
-        starts = np.arange(0, max(1, len(words) - step), step)
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + 2 * step)
+        wide = -(-max(PASSAGE, self.longest + self.longest // 8) // 4) * 4
+        step = wide // 4
+        starts = np.arange(0, max(1, len(words) - wide + step), step)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + wide)
         run = np.concatenate([[0.0], np.cumsum(self.most[t])])
-        live = np.flatnonzero(run[hi] - run[lo] >= theta - 1e-6)
         best: dict[int, tuple[float, int]] = {}
-        for k in live:
-            own = np.unique(t[lo[k] : hi[k]])
-            if self.block_most[own].sum(axis=0).max() < theta - 1e-9:
-                continue
-            for item, score in self.search(own.tolist(), theta):
-                if score > best.get(item, (0.0, 0))[0]:
-                    best[item] = (score, int(starts[k]))
+        live = np.flatnonzero(run[hi] - run[lo] >= theta - 1e-6)
+        for j in range(0, len(live), 128):
+            part = live[j : j + 128]
+            n = hi[part] - lo[part]
+            ends = np.cumsum(n)
+            here = t[np.repeat(lo[part] - (ends - n), n) + np.arange(ends[-1])]
+            key = np.sort(np.repeat(np.arange(len(part)) * len(self.terms), n) + here)
+            key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+            window, query = np.divmod(key, len(self.terms))
+            bound = self.bounds(window, query, len(part))
+            for w in np.flatnonzero(bound.max(axis=1) >= theta - 1e-9).tolist():
+                for item, score in self.search(query[window == w], theta, bound[w]):
+                    if score > best.get(item, (0.0, 0))[0]:
+                        best[item] = (score, int(starts[part[w]]))
         out = []
         for item, (score, start) in sorted(best.items()):
-            near = words[max(0, start - step) : start + 3 * step]
+            near = words[max(0, start - wide) : start + 2 * wide]
             q, a = (overlap(p, near) for p in self.parts[item])
             if q >= OVERLAP and a >= OVERLAP or overlap([w for p in self.parts[item] for w in p], near) >= OVERLAP:
                 out.append((item, score, q, a))

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import map_batches, stored
 
-ORDER, MAX_GRAMS, CALIBRATION, SLACK, DISCOUNT = 4, 2_000_000, 20_000, 1.1, 0.75
+ORDER, MAX_GRAMS, CALIBRATION, SLACK, DISCOUNT = 4, 2_000_000, 20_000, 1.5, 0.75
 PIECE = 1 << 20
 _U = np.uint64
 _tables: list[np.ndarray] = []
