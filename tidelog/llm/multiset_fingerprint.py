@@ -4,7 +4,7 @@ A document is the multiset of its paragraphs (lines that are not empty).  Every
 fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo powers of two; so it does not depend on their
 order, and a paragraph is inserted or deleted by adding or subtracting its vector.  The vector has
 
-* 16 lanes modulo 2**32, the words of the paragraph's SHA-512: two documents with equal lanes are equal as multisets;
+* 16 lanes modulo 2**32, the words of the paragraph's SHA-256, bare and with a line end: two documents with equal lanes are equal as multisets;
 * a count modulo 2**19 of the paragraph's sentences, and 120 lanes modulo 2**19 that each add one bit of every
   sentence's MD5.  Counted against half the sentences these lanes are a random-sign sketch of the multiset of
   sentences, and the cosine of two sketches estimates how alike two documents are.
@@ -35,7 +35,7 @@ ONE = (1 << (LANE - 1)) - 1
 def parts(text: str) -> str:
     """SQL for a fingerprint as a struct: w (32-bit lanes), n (sentences), s (packed lanes)."""
     words = ", ".join(f"(acc[{i}] + cast(conv(substr(h, {8 * i + 1}, 8), 16, 10) as bigint)) & 4294967295L" for i in range(WORDS))
-    w = f"aggregate(transform(filter(split({text}, '\\n', -1), p -> p <> ''), p -> sha2(p, 512)), array_repeat(0L, {WORDS}), (acc, h) -> array({words}))"
+    w = f"aggregate(transform(filter(split({text}, '\\n', -1), p -> p <> ''), p -> concat(sha2(p, 256), sha2(concat(p, '\\n'), 256))), array_repeat(0L, {WORDS}), (acc, h) -> array({words}))"
     half = SUMS // 2
     sums = ", ".join(f"(acc[{j}] + (shiftrightunsigned(h.{'a' if j < half else 'b'}, {j % half}) & {ONES}L)) & {KEEP}L" for j in range(SUMS))
     units = f"transform(filter(split({text}, '[.!?] |\\n', -1), u -> u <> ''), u -> md5(u))"
@@ -64,7 +64,7 @@ def likeness(a: str, b: str) -> str:
     def dot(x: str, y: str) -> str:
         return f"cast(aggregate(zip_with({lanes(x)}, {lanes(y)}, (p, q) -> p * q), 0L, (t, p) -> t + p) as double)"
 
-    return f"case when {a}.w = {b}.w then 1.0D when {a}.n = 0 or {b}.n = 0 then 0.0D else least(1.0D, greatest(0.0D, round(coalesce({dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0.0D), 0.0D), 9))) end"
+    return f"case when {a}.w = {b}.w then 1.0D when {a}.n = 0 or {b}.n = 0 then 0.0D else least(1.0D, greatest(0.0D, round(coalesce({dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0.0D), 0.0D), 6))) end"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -74,4 +74,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_sentencepiece_sampling, op2_multiset_fingerprint, op3_decontamination, op4_pii, op5_language_id, op6_toxicity, op7_secrets, op8_simhash_bktree, op9_wrapper_induction, op10_paragraph_minhash, pipeline)
 }
-ORACLES: dict[str, str] = {}
+
+
+def _fingerprint_sql() -> str:
+    """The fingerprint query from its definition, lane by lane."""
+    w = " || ".join(f"format('{{:08x}}', (coalesce(list_sum(list_transform(p, lambda h: ('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)), 0) % 4294967296)::BIGINT)" for i in range(multiset_fingerprint.WORDS))
+    s = " || ".join(f"format('{{:015x}}', (c[{30 * 2 * h + j + 1}] + (c[{60 * h + j + 21}] << 20) + (c[{60 * h + j + 41}] << 40))::BIGINT)" for h in (0, 1) for j in range(20))
+    near = "case when {a}.w = {b}.w then 1.0 when {a}.n = 0 or {b}.n = 0 then 0.0 else least(1.0, greatest(0.0, round(coalesce({ab} / nullif(sqrt({aa}) * sqrt({bb}), 0), 0), 6))) end"
+    dot = lambda x, y: f"list_sum(list_transform(range(1, 121), lambda i: (2 * {x}.c[i] - {x}.n) * (2 * {y}.c[i] - {y}.n)))::DOUBLE"
+    like = lambda x, y: near.format(a=x, b=y, ab=dot(x, y), aa=dot(x, x), bb=dot(y, y))
+    return f"""
+    with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id nulls first, coalesce(text, '')) as rn, count(*) over () as n from documents),
+    e as (select a.doc_id, a.t, b.t as nt, substr(a.t, 1, (length(a.t) - length(a.t) // 2)::BIGINT) || substr(b.t, 1, (length(a.t) // 2)::BIGINT) as ed from d a join d b on b.rn = a.rn % a.n + 1),
+    u as (select t, list_transform(list_filter(string_split(t, chr(10)), lambda x: x <> ''), lambda x: sha256(x) || sha256(x || chr(10))) as p,
+        list_transform(list_filter(regexp_split_to_array(t, '[.!?] |\n'), lambda x: x <> ''), lambda x: md5(x)) as m from (select t from e union select ed from e)),
+    b as (select t, p, len(m) % 524288 as n, list_transform(m, lambda x: ('0x' || substr(x, 1, 15))::BIGINT) as a, list_transform(m, lambda x: ('0x' || substr(x, 17, 15))::BIGINT) as z from u),
+    l as (select t, p, n, list_concat(list_transform(range(0, 60), lambda k: (coalesce(list_sum(list_transform(a, lambda x: (x >> k) & 1)), 0) % 524288)::BIGINT),
+        list_transform(range(0, 60), lambda k: (coalesce(list_sum(list_transform(z, lambda x: (x >> k) & 1)), 0) % 524288)::BIGINT)) as c from b),
+    f as (select t, n, c, {w} as w, format('{{:08x}}', n) || {s} as s from l)
+    select e.doc_id, length(e.t)::BIGINT as n_chars, sha256(e.ed) as edited_sha256, x.w || x.s as fingerprint, y.w || y.s as edited_fingerprint, {like('x', 'y')} as near_edited, {like('x', 'z')} as near_next
+    from e join f x on x.t = e.t join f y on y.t = e.ed join f z on z.t = e.nt"""
+
+
+ORACLES: dict[str, str] = {"op2_multiset_fingerprint": _fingerprint_sql()}
