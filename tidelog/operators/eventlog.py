@@ -10,7 +10,17 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = T.StructType.fromDDL("id string not null, payload string not null, metadata string, stream_id bigint not null, created_at timestamp not null, lsn decimal(20,0), event_date date")
+SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("payload", T.StringType(), False),
+        T.StructField("metadata", T.StringType()),
+        T.StructField("stream_id", T.LongType(), False),
+        T.StructField("created_at", T.TimestampType(), False),
+        T.StructField("lsn", T.DecimalType(20, 0)),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
 REQUIRED = ("id", "created_at", "payload", "stream_id")
 OPTIONAL = ("metadata", "lsn")
 Key = tuple[datetime, str]

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.payload import quoted
+
 
 def _row(df: DataFrame, alias: str) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns]).alias(alias)
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns]).alias(alias)
 
 
 def inserts_from(df: DataFrame, table: str, schema: str = "public", txn_ts: Column | None = None, change_id: Column | None = None) -> DataFrame:
@@ -28,8 +30,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: Sequence[str], table
     An update that changes nothing leaves no trace in snapshots and makes no row.
     """
     key = list(key)
-    old = before.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], _row(before, "old"))
-    new = after.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], _row(after, "new"))
+    old = before.select(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(key)], _row(before, "old"))
+    new = after.select(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(key)], _row(after, "new"))
     names = [f"_k{i}" for i in range(len(key))]
     op = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "DELETE").when(~F.col("old").eqNullSafe(F.col("new")), "UPDATE")
     rows = old.join(new, names, "full_outer").withColumn("op", op).where("op IS NOT NULL")
