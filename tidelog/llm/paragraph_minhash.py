@@ -11,8 +11,8 @@ digests are joined through their band key (each with the smallest digest of the
 these collisions bound what has to be compared, and inside them every two paragraphs are verified by their exact
 Jaccard similarity, in blocks of bounded size.  Verified links are clustered by components.
 
-Defined cases: a null text counts as empty and has no passage; rows with a null doc_id take part as documents of an
-unknown id, which is null in the result; repeated rows repeat, and count as one document as their id is the same;
+Defined cases: a null text counts as empty and has no passage; rows with a null doc_id count as one document, the first
+of all, whose id is null in the result; repeated rows repeat, and count as one document as their id is the same;
 paragraphs under ``MIN_WORDS`` words are never removed; an empty table gives an empty result.
 """
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, blocks_in_order, codepoints, components, local_components, map_batches, mix64, partitions, shingle_hashes, stored, triangle_blocks
 
-MIN_WORDS, WINDOW, REACH = 25, 25, 3
+MIN_WORDS, WINDOW, REACH = 25, 20, 4
+UNKNOWN = -(1 << 63)  # stands for a null doc_id while grouping
 BANDS, ROWS, JACCARD = 20, 5, 0.8
 SHARD = 512
 
@@ -216,14 +217,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``keep`` is true for the units of ``first_doc_id``; the others are the removals.
     """
     every, linked = clusters(docs)
-    plain = every.select("doc_id", "start", "end", "kind", "digest")
-    by_digest = plain.groupBy("kind", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.count("doc_id").alias("ids"))
-    several = (F.col("lo") < F.col("hi")) | ((F.col("ids") < F.col("n")) & (F.col("n") > 1))
-    other = linked.withColumn("kind", F.lit(0).cast("byte"))
-    near = by_digest.where("kind = 0").join(other, ["kind", "digest"]).groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("ids").alias("ids")).where(several)
-    near = other.join(near, "root").select("kind", "digest", F.col("root").alias("cluster"), F.col("lo").alias("first_doc_id"))
-    exact = by_digest.where(several).join(other, ["kind", "digest"], "left_anti").select("kind", "digest", F.col("digest").alias("cluster"), F.col("lo").alias("first_doc_id"))
-    return plain.join(near.unionByName(exact), ["kind", "digest"]).select("doc_id", "start", "end", "kind", "cluster", "first_doc_id", F.coalesce(F.col("doc_id") == F.col("first_doc_id"), F.lit(False)).alias("keep"))
+    own = F.coalesce("doc_id", F.lit(UNKNOWN))
+    by_digest = every.groupBy("digest").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    near = by_digest.join(linked, "digest").groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    near = linked.join(near, "root").select("digest", F.col("root").alias("cluster"), "lo")
+    exact = by_digest.where("lo < hi").join(linked, "digest", "left_anti").select("digest", F.col("digest").alias("cluster"), "lo")
+    rows = every.select("doc_id", "start", "end", "kind", "digest").join(near.unionByName(exact), "digest")
+    return rows.select("doc_id", "start", "end", "kind", "cluster", F.nullif("lo", F.lit(UNKNOWN)).alias("first_doc_id"), (own == F.col("lo")).alias("keep"))
 
 
 def by_document(passages: DataFrame) -> DataFrame:
