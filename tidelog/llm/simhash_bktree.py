@@ -20,8 +20,9 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks_in_order, components, local_components, map_batches, partitions, stored, triangle_blocks
 
@@ -50,19 +51,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns in ``keep``) with ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """doc_id (or the columns in ``keep``) with the fingerprint as a signed long in the column ``name``."""
     keep = keep or ["doc_id"]
-    src = docs.select(*keep, F.col("text").alias("_text"))
+    src = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column("_text")], np.uint64).view(np.int64)
-            cols = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fp)], [*keep, "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, name])
 
-    kinds = dict(docs.dtypes)
-    return map_batches(src, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp long"]))
+    return map_batches(src, run, T.StructType([*src.select(*keep).schema.fields, T.StructField(name, T.LongType())]))
 
 
 class BKForest:
@@ -162,19 +161,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of repeated rows of that doc_id one stays.  Where a component has no known doc_id, one of its rows stays for each
     smallest fingerprint.  Only rows whose doc_id occurs more than once are sorted to choose among them.
     """
-    spark_cols = docs.columns
+    own, u = docs.columns, "_"
+    while any(c.startswith(u) for c in own):
+        u += "_"
+    n, fp, at, rank, row_fp = (f"{u}{x}" for x in ("n", "fp", "id", "rank", "row_fp"))
     near = stored(near_duplicates(docs))
-    keep = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    single = docs.join(keep.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    from pyspark.sql import Window
-
-    again = fingerprints(docs.join(keep.where("_n > 1").select("doc_id"), "doc_id", "left_semi"), spark_cols)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "fp").distinct().withColumnRenamed("fp", "_fp").withColumnRenamed("doc_id", "_id")
-    again = again.join(kept.join(keep.where("_n > 1").withColumnRenamed("doc_id", "_id"), "_id", "left_semi"), (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("fp", F.xxhash64("text"))
-    again = again.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    unknown = near.where("component_id IS NULL").groupBy("fp").agg(F.count("*").alias("_n")).select("fp").withColumnRenamed("fp", "_fp")
-    nulls = fingerprints(docs.where("doc_id IS NULL"), spark_cols).join(unknown, F.col("fp") == F.col("_fp"), "left_semi")
-    nulls = nulls.withColumn("_r", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("text")))).where("_r = 1")
-    order = lambda df: df.select(*spark_cols)
-    return order(single).unionByName(order(again)).unionByName(order(nulls))
+    first = near.where(F.col("doc_id") == F.col("component_id"))
+    times = first.groupBy("doc_id").agg(F.count("*").alias(n))
+    single = docs.join(times.where(F.col(n) == 1).select("doc_id"), "doc_id", "left_semi")
+    several = times.where(F.col(n) > 1).select("doc_id")
+    pick = lambda df, key: df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(row_fp, F.xxhash64("text")))).where(F.col(rank) == 1).select(*own)
+    kept = first.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias(at), F.col("fp").alias(fp)).distinct()
+    again = fingerprints(docs.join(several, "doc_id", "left_semi"), own, row_fp)
+    again = again.join(kept, (F.col("doc_id") == F.col(at)) & (F.col(row_fp) == F.col(fp)), "left_semi")
+    unknown = near.where("component_id IS NULL").select(F.col("fp").alias(fp)).distinct()
+    nulls = fingerprints(docs.where("doc_id IS NULL"), own, row_fp).join(unknown, F.col(row_fp) == F.col(fp), "left_semi")
+    return single.select(*own).unionByName(pick(again, "doc_id")).unionByName(pick(nulls, row_fp))

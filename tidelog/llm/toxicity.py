@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain of linear models.
 
 The chain predicts its categories one after the other: low quality, toxic, and toxic in good prose.  Each link is a
-logistic regression on hashed features of the whole text (words, and the first characters of words) and on the
-probabilities of the earlier links.  While training, those probabilities are out-of-fold predictions (``FOLDS`` folds
+logistic regression on hashed features of the whole text (words, and the first characters of words), each scaled by the
+log ratio of its frequencies in the two classes, and on the probabilities of the earlier links.  While training, those probabilities are out-of-fold predictions (``FOLDS`` folds
 by a hash of the document), so later links learn from what earlier ones would say about unseen text.
 
 The models are fitted on the driver, on at most about ``SAMPLE`` labelled documents picked by a hash of their doc_id;
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import WordHash, map_batches
 
 CHAIN = ("low_quality", "toxic", "toxic_prose")
-DIMENSIONS, SAMPLE, DOC_FEATURES, FOLDS, PREFIX = 1 << 18, 10_000, 400, 4, 5
+SCALE, LEAST_DOCS, PRIOR = -0.25, 2, 0.5
+DIMENSIONS, SAMPLE, DOC_FEATURES, FOLDS, PREFIX = 1 << 18, 6_000, 2_000, 4, 5
 _CUT = str.maketrans({c: " " for c in ".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`@"})
 
 
@@ -50,7 +51,7 @@ class Chain:
         sizes = np.array([len(r) for r in rows])
         flat = np.concatenate([*rows, np.zeros(0, np.int32)])
         owner = np.repeat(np.arange(len(rows)), sizes)
-        scale = 1 / np.sqrt(np.maximum(sizes, 1))
+        scale = np.maximum(sizes, 1) ** SCALE
         out = np.zeros((len(rows), len(CHAIN)))
         for k in range(len(CHAIN)):
             z = np.bincount(owner, self.words[k][flat], len(rows)) * scale + self.bias[k] + out[:, :k] @ self.earlier[k, :k]
@@ -58,29 +59,33 @@ class Chain:
         return out
 
 
-def fit_link(rows: list[np.ndarray], early: np.ndarray, y: np.ndarray, epochs: int = 40, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by full-batch Adam steps; deterministic."""
-    w, e, b = np.zeros(DIMENSIONS), np.zeros(early.shape[1]), 0.0
+def fit_link(rows: list[np.ndarray], early: np.ndarray, y: np.ndarray, epochs: int = 40, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the features and of the earlier probabilities, and the intercept: logistic regression by full-batch
+    Adam steps on features scaled by their classes' log ratio.  Deterministic."""
     rate = y.mean() if len(y) else 0.0
     if rate in (0.0, 1.0):
-        return w, e, float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
-    b = float(np.log(rate / (1 - rate)))
+        return np.zeros(DIMENSIONS), np.zeros(early.shape[1]), float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
     sizes = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    scale = 1 / np.sqrt(np.maximum(sizes, 1))
-    weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
-    weight /= weight.sum()
-    theta = [w, e, np.array([b])]
-    m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
+    docs = np.bincount(flat, minlength=DIMENSIONS)
+    yes = np.bincount(flat[y[owner] > 0], minlength=DIMENSIONS)
+    ratio = np.log((yes + PRIOR) / (y.sum() + 2 * PRIOR)) - np.log((docs - yes + PRIOR) / (len(y) - y.sum() + 2 * PRIOR))
+    ratio[docs < LEAST_DOCS] = 0
+    held = docs[flat] >= LEAST_DOCS
+    flat, owner = flat[held], owner[held]
+    x = ratio[flat] * (np.maximum(sizes, 1) ** SCALE)[owner]
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    theta = [np.zeros(DIMENSIONS), np.zeros(early.shape[1]), np.zeros(1)]
+    m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for t in range(1, epochs + 1):
-        z = np.bincount(owner, theta[0][flat], len(rows)) * scale + early @ theta[1] + theta[2][0]
+        z = np.bincount(owner, x * theta[0][flat], len(rows)) + early @ theta[1] + theta[2][0]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [np.bincount(flat, (g * scale)[owner], DIMENSIONS) + l2 * theta[0], early.T @ g + l2 * theta[1], np.array([g.sum()])]
-        for x, gx, mx, vx in zip(theta, grads, m, v, strict=True):
-            mx += 0.1 * (gx - mx)
-            vx += 0.001 * (gx * gx - vx)
-            x -= 0.3 * (mx / (1 - 0.9**t)) / (np.sqrt(vx / (1 - 0.999**t)) + 1e-8)
-    return theta[0], theta[1], float(theta[2][0])
+        grads = [np.bincount(flat, g[owner] * x, DIMENSIONS) + l2 * theta[0], early.T @ g + l2 * theta[1], np.array([g.sum()])]
+        for p, gp, mp, vp in zip(theta, grads, m, v, strict=True):
+            mp += 0.1 * (gp - mp)
+            vp += 0.001 * (gp * gp - vp)
+            p -= 0.1 * (mp / (1 - 0.9**t)) / (np.sqrt(vp / (1 - 0.999**t)) + 1e-8)
+    return theta[0] * ratio, theta[1], float(theta[2][0])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
@@ -101,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
         for f in range(FOLDS):
             wf, ef, bf = on(have & (fold != f))
             for i in np.flatnonzero(fold == f):
-                z = wf[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + early[i] @ ef + bf
+                z = wf[rows[i]].sum() * max(1, len(rows[i])) ** SCALE + early[i] @ ef + bf
                 out[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         early = np.column_stack([early, out])
     return Chain(words, earlier, bias)
