@@ -243,6 +243,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """host, root, constants: what each host's sample teaches."""
     rows = pages.where("html IS NOT NULL").select(host().alias("host"), F.xxhash64("html").alias("h"), "html")
     least = rows.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
+    least = stored(least)
+    if least.count() <= SAMPLE * BROADCAST_HOSTS:  # two short columns; otherwise the pages are shuffled to them
+        least = F.broadcast(least)
     sample = rows.join(least, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
 
     def learn(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
