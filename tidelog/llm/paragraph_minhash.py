@@ -30,7 +30,7 @@ from .common import WordHash, blocks_in_order, codepoints, components, local_com
 MIN_WORDS, WINDOW, REACH = 25, 20, 4
 UNKNOWN = -(1 << 63)  # stands for a null doc_id while grouping
 BANDS, ROWS, JACCARD = 20, 5, 0.8
-SHARD = 512
+SHARD, PIECE = 512, 1 << 17
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -38,17 +38,42 @@ _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, N
 _SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
 
 
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (code points) and line number of each word of ``text.split()``."""
-    cp = codepoints(text)
-    space = _SPACE[np.minimum(cp, 0x3000)] & (cp <= 0x3000)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    return starts, ends, np.searchsorted(np.flatnonzero(cp == 10), starts)
+class Words:
+    """The words of several texts at once: hashes, spans (code points of their own text), line and text number of each."""
+
+    def __init__(self, texts: list[str], known: WordHash):
+        joined = "\n".join(texts)
+        low = joined.lower()
+        self.hashes = known.of(low.split() if len(low) == len(joined) else [x.lower() for x in joined.split()])
+        cp = codepoints(joined)
+        space = _SPACE[np.minimum(cp, 0x3000)] & (cp <= 0x3000)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        begin = np.cumsum(size) - size
+        self.text = np.searchsorted(begin, starts, "right") - 1
+        self.line = np.searchsorted(np.flatnonzero(cp == 10), starts)
+        self.starts, self.ends = starts - begin[self.text], ends - begin[self.text]
+        self.stop = np.searchsorted(self.text, np.arange(len(texts)), "right")  # the end of each text's words
+
+
+def pieces(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts (number of the first, texts) with about PIECE code points or one long text each."""
+    part, size, first = [], 0, 0
+    for i, t in enumerate(column):
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size >= PIECE:
+            yield first, part
+            part, size, first = [], 0, i + 1
+    if part:
+        yield first, part
 
 
 def band_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """MinHash bands [paragraph, band] of the paragraphs whose shingles begin at ``starts``."""
+    if not len(starts):
+        return np.zeros((0, BANDS), np.int64)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.empty((len(_MUL), len(starts)), np.uint32)
     for k in range(0, len(_MUL), 10):
@@ -58,38 +83,47 @@ def band_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((BANDS, len(starts)), np.uint64)
     for r in range(ROWS):
         out = mix64(out * np.uint64(31) + least[r::ROWS])
-    return (mix64(out + np.arange(BANDS, dtype=np.uint64)[:, None])).T.view(np.int64) if len(starts) else np.zeros((0, BANDS), np.int64)
+    return (mix64(out + np.arange(BANDS, dtype=np.uint64)[:, None])).T.view(np.int64)
 
 
-def paragraphs(words: np.ndarray, line: np.ndarray, bands: bool = True) -> tuple[np.ndarray, ...]:
-    """First and last word, digest and bands (or else the shingles) of each paragraph of at least MIN_WORDS words."""
-    first = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(line)) if len(first) else first
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end, digest and first shingle of each paragraph of at least MIN_WORDS words, and all their shingles."""
+    first = np.flatnonzero(np.diff(w.line, prepend=-1))
+    last = np.append(first[1:], len(w.line))[: len(first)]
     long = last - first >= MIN_WORDS
     first, last = first[long], last[long]
-    runs = [shingle_hashes(words[a:b]) for a, b in zip(first, last, strict=True)]
-    at = np.cumsum([0, *map(len, runs)])[:-1].astype(np.int64)
-    every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-    order = mix64(every + np.arange(len(every), dtype=np.uint64) - np.repeat(at, [len(r) for r in runs]).astype(np.uint64)) if runs else every
-    digest = np.add.reduceat(order, at).view(np.int64) if runs else np.zeros(0, np.int64)
-    return first, last, digest, band_hashes(every, at) if bands and runs else runs
-
-
-def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each anchored window of WINDOW words."""
-    n = len(words)
-    if n < WINDOW:
+    none = np.zeros(0, np.int64)
+    if not len(first):
+        return first, last, none, none, np.zeros(0, np.uint64)
+    size = last - first - 4
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    every = shingle_hashes(w.hashes)[np.repeat(first, size) + place]
+    digest = np.add.reduceat(mix64(every + place.astype(np.uint64)), at).view(np.int64)
+    return first, last, digest, at, every
+
+
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each anchored window of WINDOW words, of the texts of at least MIN_WORDS words."""
+    n = len(w.hashes)
+    if n < MIN_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = mix64(words[:-1] * np.uint64(3) + words[1:])
-    pad = np.concatenate([np.full(REACH, np.iinfo(np.uint64).max, np.uint64), pair, np.full(REACH, np.iinfo(np.uint64).max, np.uint64)])
-    low = np.lib.stride_tricks.sliding_window_view(pad, 2 * REACH + 1).min(axis=1)
-    at = np.flatnonzero(low == pair)
-    at = at[at + WINDOW <= n]
-    if not len(at):
-        return at, at.astype(np.int64)
+    pair = mix64(w.hashes[:-1] * np.uint64(3) + w.hashes[1:])
+    same = np.flatnonzero(w.text[:-1] == w.text[1:])
+    spot = same + REACH * (w.text[same] + 1)  # REACH empty places part the texts
+    padded = np.full(n + REACH * (len(w.stop) + 2), np.iinfo(np.uint64).max, np.uint64)
+    padded[spot] = pair[same]
+    low = padded[: len(padded) - 2 * REACH].copy()
+    for k in range(1, 2 * REACH + 1):
+        np.minimum(low, padded[k : len(low) + k], out=low)
+    at = same[low[spot - REACH] == pair[same]]
+    size = np.diff(w.stop, prepend=0)
+    at = at[(at + WINDOW <= w.stop[w.text[at]]) & (size[w.text[at]] >= MIN_WORDS)]
     powers = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
-    rows = mix64(words)[at[:, None] + np.arange(WINDOW)]
-    return at, mix64((rows * powers).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    mixed, total = mix64(w.hashes), np.zeros(len(at), np.uint64)
+    for k in range(WINDOW):
+        total += mixed[at + k] * powers[k]
+    return at, mix64(total).view(np.int64)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -99,27 +133,23 @@ def units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            parts: list[tuple] = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                text = t.as_py() or ""
-                w = known.of(text.lower().split()) if len(text.lower()) == len(text) else known.of([x.lower() for x in text.split()])
-                if len(w) < MIN_WORDS:
-                    continue
-                starts, ends, line = word_spans(text)
-                first, last, digest, bands = paragraphs(w, line)
-                at, wh = windows(w)
-                parts.append((i, np.concatenate([starts[first], starts[at]]), np.concatenate([ends[last - 1], ends[at + WINDOW - 1]]), len(first), np.concatenate([digest, wh]), bands if len(first) else np.zeros((0, BANDS), np.int64)))
-            if not parts:
-                continue
-            counts = [len(p[1]) for p in parts]
-            ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), counts)))
-            kind = np.concatenate([np.arange(n) >= p[3] for n, p in zip(counts, parts, strict=True)])
-            valid = np.concatenate([p[5] for p in parts]).reshape(-1)
-            offsets = np.concatenate([[0], np.cumsum(np.where(kind, 0, BANDS))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)), pa.array(kind.astype(np.int8)), pa.array(np.concatenate([p[4] for p in parts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(valid))],
-                schema=fields,
-            )
+            for begin, texts in pieces(b.column("text")):
+                w = Words(texts, known)
+                first, last, digest, own, every = paragraphs(w)
+                at, hashes = windows(w)
+                kind = np.repeat(np.array([0, 1], np.int8), [len(first), len(at)])
+                offsets = pa.array(np.append(np.arange(len(first)), np.full(len(at) + 1, len(first))).astype(np.int32) * BANDS, mask=np.append(kind == 1, False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").take(pa.array(begin + w.text[np.concatenate([first, at])])),
+                        pa.array(w.starts[np.concatenate([first, at])].astype(np.int32)),
+                        pa.array(w.ends[np.concatenate([last, at + WINDOW]) - 1].astype(np.int32)),
+                        pa.array(kind),
+                        pa.array(np.concatenate([digest, hashes])),
+                        pa.ListArray.from_arrays(offsets, pa.array(band_hashes(every, own).reshape(-1))),
+                    ],
+                    schema=fields,
+                )
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start int, end int, kind byte, digest long, bands array<long>")
 
@@ -130,16 +160,11 @@ def shingles_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            digests, sets = [], []
-            for t in b.column("text"):
-                text = t.as_py() or ""
-                w = known.of(text.lower().split()) if len(text.lower()) == len(text) else known.of([x.lower() for x in text.split()])
-                if len(w) >= MIN_WORDS:
-                    _, _, digest, runs = paragraphs(w, word_spans(text)[2], bands=False)
-                    digests += digest.tolist()
-                    sets += [np.unique(r).view(np.int64) for r in runs]
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["digest", "shingles"])
+            for _, texts in pieces(b.column("text")):
+                _, _, digest, at, every = paragraphs(Words(texts, known))
+                sets = [np.unique(x).view(np.int64) for x in np.split(every, at[1:])] if len(at) else []
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["digest", "shingles"])
 
     return map_batches(docs.select("text"), run, "digest long, shingles array<long>")
 
@@ -166,14 +191,16 @@ def jaccard_links(sets: list[np.ndarray], side: np.ndarray, diagonal: bool, leas
     return np.concatenate(a), np.concatenate(b)
 
 
-def verified_links(candidates: DataFrame, shard: int = SHARD) -> DataFrame:
+def verified_links(collided: DataFrame, sets: DataFrame, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between digests: a spanning forest of the exactly verified links in each block.
 
-    ``candidates`` has root (component of band collisions), digest and shingles.
+    ``collided`` has the root (component of band collisions) of each digest, ``sets`` the shingles of each digest; blocks
+    are dealt before the shingles join, which then move once more, to their blocks.
     """
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = triangle_blocks(candidates.join(sizes, "root"), "root", "digest", "n", shard)
-    blocks = blocks.select("block", "side", F.col("_diagonal").alias("diagonal"), "digest", "shingles").repartition(partitions(candidates.sparkSession), "block").sortWithinPartitions("block")
+    sizes = collided.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = triangle_blocks(collided.join(sizes, "root"), "root", "digest", "n", shard)
+    blocks = blocks.select("block", "side", F.col("_diagonal").alias("diagonal"), "digest").join(sets, "digest")
+    blocks = blocks.select("block", "side", "diagonal", "digest", "shingles").repartition(partitions(collided.sparkSession), "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks_in_order(batches, rows=2000):
@@ -206,8 +233,8 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     holders = every.where("kind = 0").select("digest", "doc_id").join(collided.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     known = docs.join(holders.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     source = known.select("text").unionByName(docs.where("doc_id IS NULL").select("text"))
-    sets = shingles_of(source).join(collided, "digest").groupBy("digest", "root").agg(F.first("shingles").alias("shingles"))
-    linked = components(verified_links(stored(sets)))
+    sets = shingles_of(source).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    linked = components(verified_links(collided, sets))
     return every, linked.select(F.col("node").alias("digest"), "root")
 
 
@@ -219,11 +246,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     every, linked = clusters(docs)
     own = F.coalesce("doc_id", F.lit(UNKNOWN))
     by_digest = every.groupBy("digest").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    near = by_digest.join(linked, "digest").groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    near = linked.join(near, "root").select("digest", F.col("root").alias("cluster"), "lo")
-    exact = by_digest.where("lo < hi").join(linked, "digest", "left_anti").select("digest", F.col("digest").alias("cluster"), "lo")
-    rows = every.select("doc_id", "start", "end", "kind", "digest").join(near.unionByName(exact), "digest")
-    return rows.select("doc_id", "start", "end", "kind", "cluster", F.nullif("lo", F.lit(UNKNOWN)).alias("first_doc_id"), (own == F.col("lo")).alias("keep"))
+    shared = stored(by_digest.join(linked, "digest", "left").where("lo < hi OR root IS NOT NULL"))
+    spread = shared.where("root IS NOT NULL").groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    near = shared.select("digest", "root").join(spread, "root").select("digest", F.col("root").alias("cluster"), "lo")
+    exact = shared.where("root IS NULL").select("digest", F.col("digest").alias("cluster"), "lo")
+    place = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("end") - F.col("start")).cast("long") * 2 + F.col("kind")  # one long moves, not three columns
+    rows = every.select("doc_id", place.alias("place"), "digest").join(near.unionByName(exact), "digest")
+    start, rest = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    end = (start + F.shiftright(rest, 1)).cast("int")
+    return rows.select("doc_id", start.alias("start"), end.alias("end"), (rest % 2).cast("byte").alias("kind"), "cluster", F.nullif("lo", F.lit(UNKNOWN)).alias("first_doc_id"), (own == F.col("lo")).alias("keep"))
 
 
 def by_document(passages: DataFrame) -> DataFrame:
