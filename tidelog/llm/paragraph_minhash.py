@@ -127,8 +127,8 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), kind (0 paragraph, 1 window), digest, bands (null for windows) of every unit."""
-    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, start, length (code points), kind (0 paragraph, 1 window), digest, bands (null for windows) of every unit."""
+    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.int8()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -137,13 +137,14 @@ def units(docs: DataFrame) -> DataFrame:
                 w = Words(texts, known)
                 first, last, digest, own, every = paragraphs(w)
                 at, hashes = windows(w)
+                begins, stops = w.starts[np.concatenate([first, at])], w.ends[np.concatenate([last, at + WINDOW]) - 1]
                 kind = np.repeat(np.array([0, 1], np.int8), [len(first), len(at)])
                 offsets = pa.array(np.append(np.arange(len(first)), np.full(len(at) + 1, len(first))).astype(np.int32) * BANDS, mask=np.append(kind == 1, False))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").take(pa.array(begin + w.text[np.concatenate([first, at])])),
-                        pa.array(w.starts[np.concatenate([first, at])].astype(np.int32)),
-                        pa.array(w.ends[np.concatenate([last, at + WINDOW]) - 1].astype(np.int32)),
+                        pa.array(begins.astype(np.int32)),
+                        pa.array((stops - begins).astype(np.int32)),
                         pa.array(kind),
                         pa.array(np.concatenate([digest, hashes])),
                         pa.ListArray.from_arrays(offsets, pa.array(band_hashes(every, own).reshape(-1))),
@@ -151,7 +152,7 @@ def units(docs: DataFrame) -> DataFrame:
                     schema=fields,
                 )
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start int, end int, kind byte, digest long, bands array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start int, length int, kind byte, digest long, bands array<long>")
 
 
 def shingles_of(docs: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = stored(units(docs))
     paras = every.where("kind = 0").groupBy("digest").agg(F.first("bands").alias("bands"))
     keys = paras.select("digest", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    met = keys.groupBy("key").agg(F.min("digest").alias("b"))  # a key of one digest joins with itself only
     collided = components(keys.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b"))
     collided = stored(collided.select(F.col("node").alias("digest"), "root"))
     holders = every.where("kind = 0").select("digest", "doc_id").join(collided.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
@@ -250,7 +251,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spread = shared.where("root IS NOT NULL").groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     near = shared.select("digest", "root").join(spread, "root").select("digest", F.col("root").alias("cluster"), "lo")
     exact = shared.where("root IS NULL").select("digest", F.col("digest").alias("cluster"), "lo")
-    place = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("end") - F.col("start")).cast("long") * 2 + F.col("kind")  # one long moves, not three columns
+    place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("length").cast("long") * 2 + F.col("kind")  # one long moves, not three columns
     rows = every.select("doc_id", place.alias("place"), "digest").join(near.unionByName(exact), "digest")
     start, rest = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     end = (start + F.shiftright(rest, 1)).cast("int")
