@@ -47,7 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes ``df`` once to the shared folder and reads it back, so lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path

@@ -127,11 +127,14 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, start, length (code points), kind (0 paragraph, 1 window), digest, bands (null for windows) of every unit."""
+    """doc_id, start, length (code points), kind (0 paragraph, 1 window), digest, bands of every unit.
+
+    Bands are null for windows and where the task gave an equal paragraph's bands before.
+    """
     fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.int8()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, given = WordHash(), set()
         for b in batches:
             for begin, texts in pieces(b.column("text")):
                 w = Words(texts, known)
@@ -139,7 +142,13 @@ def units(docs: DataFrame) -> DataFrame:
                 at, hashes = windows(w)
                 begins, stops = w.starts[np.concatenate([first, at])], w.ends[np.concatenate([last, at + WINDOW]) - 1]
                 kind = np.repeat(np.array([0, 1], np.int8), [len(first), len(at)])
-                offsets = pa.array(np.append(np.arange(len(first)), np.full(len(at) + 1, len(first))).astype(np.int32) * BANDS, mask=np.append(kind == 1, False))
+                if len(given) > known.limit:
+                    given.clear()
+                fresh = np.array([not (d in given or given.add(d)) for d in digest.tolist()], bool)
+                size = np.diff(np.append(own, len(every)))
+                bands = band_hashes(every[np.repeat(fresh, size)], np.cumsum(size[fresh]) - size[fresh])
+                holds = np.append(fresh, np.zeros(len(at), bool))
+                offsets = pa.array((np.cumsum(np.append(0, holds)) * BANDS).astype(np.int32), mask=np.append(~holds, False))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").take(pa.array(begin + w.text[np.concatenate([first, at])])),
@@ -147,7 +156,7 @@ def units(docs: DataFrame) -> DataFrame:
                         pa.array((stops - begins).astype(np.int32)),
                         pa.array(kind),
                         pa.array(np.concatenate([digest, hashes])),
-                        pa.ListArray.from_arrays(offsets, pa.array(band_hashes(every, own).reshape(-1))),
+                        pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))),
                     ],
                     schema=fields,
                 )
@@ -226,7 +235,7 @@ def verified_links(collided: DataFrame, sets: DataFrame, shard: int = SHARD) ->
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All units of ``docs`` (stored), and the cluster of every digest that another one is linked with (digest, root)."""
     every = stored(units(docs))
-    paras = every.where("kind = 0").groupBy("digest").agg(F.first("bands").alias("bands"))
+    paras = every.where("kind = 0").groupBy("digest").agg(F.first("bands", ignorenulls=True).alias("bands"))
     keys = paras.select("digest", F.explode("bands").alias("key"))
     met = keys.groupBy("key").agg(F.min("digest").alias("b"))  # a key of one digest joins with itself only
     collided = components(keys.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b"))
