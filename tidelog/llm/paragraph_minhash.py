@@ -19,17 +19,19 @@ paragraphs under ``MIN_WORDS`` words are never removed; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks_in_order, codepoints, components, local_components, map_batches, mix64, partitions, shingle_hashes, stored, triangle_blocks
+from .common import WordHash, blocks_in_order, codepoints, components, drop_stored, local_components, map_batches, mix64, partitions, shingle_hashes, stored, triangle_blocks
 
 MIN_WORDS, WINDOW, REACH = 25, 20, 4
 UNKNOWN = -(1 << 63)  # stands for a null doc_id while grouping
 BANDS, ROWS, JACCARD = 20, 5, 0.8
+PASSES = 2  # the bands move in so many turns, each freeing its shuffle files, to bound the disk
 SHARD, PIECE = 512, 1 << 17
 
 _rng = np.random.default_rng(20240601)
@@ -232,14 +234,26 @@ def verified_links(collided: DataFrame, sets: DataFrame, shard: int = SHARD) ->
     return map_batches(blocks, run, "a long, b long")
 
 
+def collisions(every: DataFrame) -> list[DataFrame]:
+    """Edges (a, b) from each digest to the smallest one of each of its band keys: a stored table for every turn of bands."""
+    found, width = [], BANDS // PASSES
+    for k in range(PASSES):
+        some = F.slice("bands", k * width + 1, width)
+        paras = every.where("bands IS NOT NULL").select("digest", some.alias("bands")).groupBy("digest").agg(F.first("bands").alias("bands"))
+        keys = paras.select("digest", F.explode("bands").alias("key"))
+        met = keys.groupBy("key").agg(F.min("digest").alias("b"))  # a key of one digest joins with itself only
+        found.append(stored(keys.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b")))
+    return found
+
+
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All units of ``docs`` (stored), and the cluster of every digest that another one is linked with (digest, root)."""
     every = stored(units(docs))
-    paras = every.where("kind = 0").groupBy("digest").agg(F.first("bands", ignorenulls=True).alias("bands"))
-    keys = paras.select("digest", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("digest").alias("b"))  # a key of one digest joins with itself only
-    collided = components(keys.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b"))
+    found = collisions(every)
+    collided = components(reduce(DataFrame.unionByName, found))
     collided = stored(collided.select(F.col("node").alias("digest"), "root"))
+    for edges in found:
+        drop_stored(edges)
     holders = every.where("kind = 0").select("digest", "doc_id").join(collided.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     known = docs.join(holders.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     source = known.select("text").unionByName(docs.where("doc_id IS NULL").select("text"))
