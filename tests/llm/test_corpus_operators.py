@@ -308,6 +308,13 @@ def test_wrapper_induction(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def test_wrapper_keeps_varying_text_beside_the_root():
+    page = lambda k: f'<body><div class="box">Same on all</div><article><h1>Title {k}</h1><p class="lead">Lead {k}</p><div class="body"><p>{"Long text " * 30}{k}</p><h2>Summary</h2><p>{"More text " * 30}{k}</p></div><p>Closing {k}</p></article>'
+    root, constants = wi.induce([page(k) for k in range(5)])
+    assert root == "/body/article/div.body"
+    assert wi.main_text(page(9), root, frozenset(constants)) == f'Title 9 Lead 9 {"Long text " * 30}9 Summary {"More text " * 30}9 Closing 9'
+
+
 # 10
 def test_repeated_passages(spark):
     rng = np.random.default_rng(5)

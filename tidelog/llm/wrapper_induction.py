@@ -6,9 +6,9 @@ by simple tree matching, the dynamic programme over the children of matching nod
 all pages is template; text that varies makes slots.  The deepest element that holds at least ``SHARE`` of the varying
 text outside boilerplate regions is the host's content root.
 
-Extraction, for every page: text inside the content root, or on pages without it all text that is not constant template
-text of the host, without regions that are boilerplate by their element, role or class (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments).  Character references are decoded, white space
+Extraction, for every page: all text inside the content root, and all other text that is not constant template text of
+the host (so titles, leads or sections beside the root stay), without regions that are boilerplate by their element, role
+or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).  Character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by one space.
 
 Defined cases: null html gives an empty text; null or odd urls share the host ''; broken markup is read leniently (open
@@ -229,10 +229,7 @@ def induce(pages: list[str]) -> tuple[str, list[int]]:
 
 def main_text(page: str | None, root: str = "", constants: frozenset[int] = frozenset()) -> str:
     blocks = [b for b in parse(page)[1] if not b[2]]
-    inside = [t for p, t, _ in blocks if root and (p == root or p.startswith(root + "/"))]
-    if inside:
-        return " ".join(inside)
-    return " ".join(t for p, t, _ in blocks if not constants or constant(p, t) not in constants)
+    return " ".join(t for p, t, _ in blocks if root and f"{p}/".startswith(f"{root}/") or not constants or constant(p, t) not in constants)
 
 
 def host() -> F.Column:
