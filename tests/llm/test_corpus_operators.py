@@ -315,6 +315,20 @@ def test_wrapper_keeps_varying_text_beside_the_root():
     assert wi.main_text(page(9), root, frozenset(constants)) == f'Title 9 Lead 9 {"Long text " * 30}9 Summary {"More text " * 30}9 Closing 9'
 
 
+@pytest.mark.parametrize("broadcast", [wi.BROADCAST, 0])
+def test_wrapper_learns_from_all_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(wi, "BROADCAST", broadcast)
+    boxes = "".join(f'<div class="box">Box {k}</div>' for k in range(250))  # over 400 elements, over 200 constants
+    large = lambda k: f'<body>{boxes}{"<i></i>" * 300}<div class="main"><p>Text {k}</p></div></body>'
+    other = lambda k: f'<body><section class="story"><p>Story {k}</p><p>Fixed</p></section><section class="box">Rare layout</section></body>'
+    rows = [(k, "http://a.b/x", large(k)) for k in range(30)] + [(100 + k, "http://a.b/y", other(k)) for k in range(2)]
+    rows += [(200 + 2 * j + k, f"http://two{j}.b/x", large(10 * j + k)) for j in range(12) for k in range(2)]
+    rows += [(300 + k, "http://same.b/", f"<body><!-- {k} --><p>All the same</p></body>") for k in range(2)] + [(400, "http://one.b/", "<p>Alone</p>")]
+    got = {r.page_id: r.text for r in wi.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"Text {k}" for k in range(30)} | {100 + k: f"Story {k} Fixed" for k in range(2)} | {200 + 2 * j + k: f"Text {10 * j + k}" for j in range(12) for k in range(2)}
+    assert got == want | {300: "All the same", 301: "All the same", 400: "Alone"}
+
+
 # 10
 def test_repeated_passages(spark):
     rng = np.random.default_rng(5)

@@ -1,26 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Learning, for each host: up to ``SAMPLE`` different pages (one for each value of a hash modulo ``SAMPLE``, the smallest
-hash; pages of over ``LEARN_NODES`` elements teach nothing) are parsed to DOM trees and aligned with the first of them
-by simple tree matching, the dynamic programme over the children of matching nodes.  Aligned text that is the same on
-all pages is template; text that varies makes slots.  The deepest element that holds at least ``SHARE`` of the varying
-text outside boilerplate regions is the host's content root.
-
-Extraction, for every page: all text inside the content root, and all other text that is not constant template text of
+Learning, over all pages of each host and of each layout of it (pages with the same containers in the top three levels):
+texts are aligned by the path of their element.  A text that is at its path on every page of the host, or of a layout, is
+constant template text; what varies makes slots.  The deepest element that holds at least ``SHARE`` of the varying text
+outside boilerplate regions is the content root of the host or layout.  Counts are pre-aggregated by (host, layout, path,
+text), so neither pages, texts nor hosts are sampled or cut, and a hot host is spread by its texts.  ``induce`` is the same
+for the pages of one layout in memory, aligned by simple tree matching.
+
+Extraction, for every page: all text inside the host's content roots, and all other text that is not constant template text of
 the host (so titles, leads or sections beside the root stay), without regions that are boilerplate by their element, role
 or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).  Character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by one space.
 
 Defined cases: null html gives an empty text; null or odd urls share the host ''; broken markup is read leniently (open
 elements end with their parents, an article ends open boilerplate regions, an unclosed script ends the page); repeated
-pages repeat; hosts with one page have no template and no root.
+pages repeat; hosts and layouts with one different page, or without varying text, have no template and no root.
 """
 
 from __future__ import annotations
 
 import html as html_
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 
-SAMPLE, LEARN_NODES, SHARE, BROADCAST_HOSTS, CONSTANTS, DEPTH = 6, 400, 0.8, 20_000, 200, 256
+SHARE, BROADCAST, LAYOUT_LEVELS, DEPTH = 0.8, 500_000, 3, 256
 
 # Element names and class words of the markup language and of common page furniture.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "textarea", "select", "button", "head", "title", "canvas", "audio", "video", "map", "datalist"}
@@ -42,6 +43,7 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "select", "menu", "article", "section", "div", "main", "body"}
 MAIN = {"html", "body", "main", "article"}
+CONTAINERS = MAIN | {"div", "section", "header", "footer", "nav", "aside", "form"}
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "search", "form", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "widget", "copyright", "skip", "toolbar"}
 HEADS = {"header", "masthead", "topbar", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
@@ -198,9 +200,18 @@ def every(node: Node) -> Iterator[Node]:
         yield from every(c)
 
 
+def layout(tree: Node) -> int:
+    """A hash of the containers in a page's top levels, without their order and repetition."""
+    paths, level = set(), [tree]
+    for _ in range(LAYOUT_LEVELS):
+        level = [c for n in level for c in n.children if c.tag in CONTAINERS]
+        paths.update(c.path for c in level)
+    return constant("layout", "\n".join(sorted(paths)))
+
+
 def induce(pages: list[str]) -> tuple[str, list[int]]:
-    """The path of the content root ('' if none stands out) and the constant texts of a host's sample."""
-    trees = [t for t in (parse(p)[0] for p in pages) if sum(1 for _ in every(t)) <= LEARN_NODES]
+    """The path of the content root ('' if none stands out) and the constant texts of pages of one layout."""
+    trees = [parse(p)[0] for p in pages]
     if len(trees) < 2:
         return "", []
     texts: dict[int, list[list[str]]] = {id(n): [n.texts] for n in every(trees[0])}
@@ -224,32 +235,67 @@ def induce(pages: list[str]) -> tuple[str, list[int]]:
                 weight[path] = weight.get(path, 0) + size
     top = max(weight.values(), default=0)
     root = max((p for p, w in weight.items() if w >= SHARE * top and p.rpartition("/")[2].split(".")[0] not in INLINE | {"p"}), key=lambda p: p.count("/"), default="")
-    return root, constants[:CONSTANTS]
+    return root, constants
 
 
-def main_text(page: str | None, root: str = "", constants: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, roots: str | Sequence[str] = "", constants: frozenset[int] = frozenset()) -> str:
     blocks = [b for b in parse(page)[1] if not b[2]]
-    return " ".join(t for p, t, _ in blocks if root and f"{p}/".startswith(f"{root}/") or not constants or constant(p, t) not in constants)
+    inside = tuple(f"{r}/" for r in ([roots] if isinstance(roots, str) else roots) if r)
+    return " ".join(t for p, t, _ in blocks if f"{p}/".startswith(inside) or not constants or constant(p, t) not in constants)
 
 
 def host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, root, constants: what each host's sample teaches."""
+def texts_seen(pages: DataFrame) -> DataFrame:
+    """host, layout (null: all), item, path, n, size, several: on how many pages of the host or layout each text is at its
+    path, its summed length, and whether on different pages.  Rows without a path count the pages."""
     rows = pages.where("html IS NOT NULL").select(host().alias("host"), F.xxhash64("html").alias("h"), "html")
-    least = rows.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
-    least = stored(least)
-    if least.count() <= SAMPLE * BROADCAST_HOSTS:  # two short columns; otherwise the pages are shuffled to them
-        least = F.broadcast(least)
-    sample = rows.join(least, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
 
-    def learn(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        root, constants = induce(got.sort_values("h")["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "root": [root], "constants": [constants]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for at, h, page in zip(b.column("host").to_pylist(), b.column("h").to_pylist(), b.column("html"), strict=True):
+                tree, blocks = parse(page.as_py())
+                sizes: dict[tuple[str, str], int] = {}
+                for path, text, silent in blocks:
+                    if not silent:
+                        sizes[path, text] = sizes.get((path, text), 0) + len(text)
+                items = [(0, None, 0), *((constant(p, t), p, size) for (p, t), size in sizes.items())]
+                for scope in (None, layout(tree)):
+                    for item, path, size in items:
+                        for col, x in zip(out, (at, scope, item, path, size, h), strict=True):
+                            col.append(x)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "layout", "item", "path", "size", "h"])
+
+    seen = map_batches(rows, run, "host string, layout long, item long, path string, size long, h long")
+    return seen.groupBy("host", "layout", "item", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size"), (F.min("h") < F.max("h")).alias("several"))
+
 
-    return sample.groupBy("host").applyInPandas(learn, "host string, root string, constants array<long>")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, roots, constants: what all pages of a host teach; hosts that teach nothing have no row."""
+    seen = stored(texts_seen(pages))
+    key = ["host", "layout"]
+    same = lambda a, b: (F.col(f"{a}.host") == F.col(f"{b}.host")) & F.col(f"{a}.layout").eqNullSafe(F.col(f"{b}.layout"))
+    totals = seen.where("path IS NULL AND several").select(*key, F.col("n").alias("pages"))
+    few = totals.count() <= BROADCAST
+    near = F.broadcast if few else lambda df: df
+    texts = seen.where("path IS NOT NULL").alias("s").join(near(totals).alias("t"), same("s", "t")).select("s.*", (F.col("n") == F.col("pages")).alias("fixed"))
+    slots = texts.where("NOT fixed").select(*key).distinct()
+    fixed = stored(texts.where("fixed").alias("f").join(near(slots).alias("t"), same("f", "t"), "left_semi").select("host", "item").distinct())
+    known = F.broadcast(fixed) if fixed.count() <= BROADCAST else fixed
+    varying = texts.where("NOT fixed").join(known, ["host", "item"], "left_anti")  # also of the host, what is fixed in a layout
+    varying = stored(varying.groupBy(*key, "path").agg(F.sum("size").alias("size")))
+    parts = F.split("path", "/")
+    depths = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    weights = varying.select(*key, "size", F.explode(F.transform(depths, lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).groupBy(*key, "path").agg(F.sum("size").alias("w"))
+    tops = varying.groupBy(*key).agg(F.sum("size").alias("top"))
+    tag = F.regexp_extract("path", r"/([^/.]*)[^/]*$", 1)
+    heavy = weights.alias("w").join(near(tops).alias("t"), same("w", "t")).where(F.col("w") >= F.lit(SHARE) * F.col("top")).where(~tag.isin(*INLINE, "p"))
+    roots = heavy.groupBy("w.host", "w.layout").agg(F.max_by("path", F.size(parts)).alias("root")).groupBy("host").agg(F.collect_set("root").alias("roots"))
+    return fixed.groupBy("host").agg(F.collect_list("item").alias("constants")).join(roots, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -257,8 +303,9 @@ def extract(pages: DataFrame) -> DataFrame:
     learned = stored(wrappers(pages))
     base = pages.select("page_id", "url", "html", host().alias("_host"))
     out = "page_id long, url string, text string"
-    if learned.count() <= BROADCAST_HOSTS:  # at most CONSTANTS numbers a host
-        known = {r["host"]: (r["root"], frozenset(r["constants"])) for r in learned.collect()}
+    size = learned.agg(F.sum(F.lit(1) + F.greatest(F.size("constants"), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST:  # hosts and constants; otherwise the pages are joined to them
+        known = {r["host"]: (tuple(r["roots"] or ()), frozenset(r["constants"] or ())) for r in learned.collect()}
         sent = pages.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +317,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(t.as_py(), r or "", frozenset(c or ())) for t, r, c in zip(b.column("html"), b.column("root").to_pylist(), b.column("constants").to_pylist(), strict=True)]
+            text = [main_text(t.as_py(), r or (), frozenset(c or ())) for t, r, c in zip(b.column("html"), b.column("roots").to_pylist(), b.column("constants").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     return map_batches(base.join(learned.withColumnRenamed("host", "_host"), "_host", "left"), joined, out)
