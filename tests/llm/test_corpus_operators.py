@@ -163,6 +163,21 @@ def test_search_equals_scoring_everything(spark):
     assert [index.item_ids[k] for k, *_ in index.matches(text)] == [7] and not index.matches("filler words here " * 80)
 
 
+def test_every_retrieved_passage_is_verified():
+    rng = np.random.default_rng(4)
+    item = " ".join(f"v{i}" for i in range(24)) + ". " + " ".join(f"a{i}" for i in range(8))
+    shuffled = " ".join(rng.permutation(item.replace(".", "").split()))
+    fill = lambda n: " filler" * n + " "
+    index = dec.Index.build([(1, item), (2, " ".join(f"x{i}" for i in range(400))), (3, "one two three four five six")])
+    assert [c[2] for c in index.classes] == [400, 32, 6]
+    for only in (index, dec.Index.build([(1, item)])):
+        for gap in range(200, 240):  # a scrambled passage scores as much as the copy or more, and comes first
+            assert [only.item_ids[k] for k, *_ in only.matches(shuffled + fill(gap) + item + fill(90))] == [1]
+    assert not index.matches(shuffled + fill(200) + shuffled)
+    text = fill(100) + " ".join(f"x{i}" for i in range(400)) + fill(50) + "one two three four five six"
+    assert sorted(index.item_ids[k] for k, *_ in index.matches(text)) == [2, 3]
+
+
 # 4
 def luhn(d):
     return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0

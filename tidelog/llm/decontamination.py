@@ -1,13 +1,14 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
-The test items are the indexed documents and every passage of every training text is a query: windows a little longer
-than the longest item (``PASSAGE`` words at least), a quarter of a window apart, over the whole text, so that some window
-holds nearly all of any item.  An item's impacts are its BM25 weights divided by its own total, so a passage that holds
+The test items are the indexed documents and every passage of every training text is a query.  Items fall into classes by
+length, each item over a ``SPREAD``-th of the longest of its class; a class has windows a little longer than its longest
+item (``PASSAGE`` words at least), a quarter of a window apart, over the whole text, so that some window holds nearly all
+of any item.  An item's impacts are its BM25 weights divided by its own total, so a passage that holds
 all of an item's words scores 1 and one threshold serves items of any length.  All items at or above ``THRESHOLD`` are
 retrieved: the sum of the terms' largest impacts rules out most passages at once, the sums of their largest impacts in
 each block of items rule out most blocks of the others, and the blocks that remain go through the cursors of the
 block-max WAND search.  Items that share their commonest word are kept together, which makes the blocks' bounds tight.
-A retrieved item is verified in the words around the passage: the overlap of its question (all sentences but the
+Every passage that retrieves an item is verified, the best score first, until one passes, in the words around it: the overlap of its question (all sentences but the
 last) and of its answer (the last sentence), in runs of five words, must reach ``OVERLAP``.
 
 Bound: an index shard has at most ``SHARD_ITEMS`` items and is broadcast; more items make more shards, and each is
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import map_batches
 
-PASSAGE, THRESHOLD, OVERLAP, RUN = 32, 0.6, 0.8, 5
+PASSAGE, THRESHOLD, OVERLAP, RUN, SPREAD = 32, 0.6, 0.8, 5, 4
 BLOCK, SHARD_ITEMS, K1, B = 4, 20_000, 1.2, 0.75
 _WORD = re.compile(r"\w+")
 
@@ -74,7 +75,7 @@ class Index:
     block_at: np.ndarray
     block_no: np.ndarray
     block_most: np.ndarray
-    longest: int = 0
+    classes: list[tuple[int, int, int]]  # first item, end and longest item of each length class
 
     @staticmethod
     def build(items: list[tuple[int | None, str | None]]) -> Index:
@@ -83,8 +84,15 @@ class Index:
         for _, t in items:
             for w in set(words_of(t)):
                 df[w] = df.get(w, 0) + 1
-        items.sort(key=lambda x: max(set(words_of(x[1])), key=lambda w: (df[w], w)))
+        tops: list[int] = []
+        for size in sorted({len(words_of(t)) for _, t in items}, reverse=True):
+            if not tops or size * SPREAD <= tops[-1]:
+                tops.append(size)
+        kind = lambda bag: sum(len(bag) * SPREAD <= x for x in tops)
+        items.sort(key=lambda x: (kind(bag := words_of(x[1])), max(set(bag), key=lambda w: (df[w], w))))
         bags, n = [words_of(t) for _, t in items], len(items)
+        kinds = np.array([kind(b) for b in bags], np.int64)
+        classes = [(int(np.searchsorted(kinds, k)), int(np.searchsorted(kinds, k, "right")), x) for k, x in enumerate(tops)]
         terms = {w: k for k, w in enumerate(df)}
         idf = {w: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
         mean = sum(map(len, bags)) / max(n, 1)
@@ -107,7 +115,7 @@ class Index:
             at.append(at[-1] + len(first))
         flat = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)]).astype(t)
         top = np.array([x.max() for x in most])
-        return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], terms, postings, top, np.array(at), flat(no, np.int64), flat(most, np.float64), max(map(len, bags), default=0))
+        return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], terms, postings, top, np.array(at), flat(no, np.int64), flat(most, np.float64), classes)
 
     def bounds(self, window: np.ndarray, query: np.ndarray, windows: int) -> np.ndarray:
         """The upper bound [window, block] for the distinct terms of each window."""
@@ -173,13 +181,26 @@ class Index:
         at = np.flatnonzero(tids >= 0)
         if not len(at):
             return []
-        t = tids[at]
-        wide = -(-max(PASSAGE, self.longest + self.longest // 8) // 4) * 4
-        step = wide // 4
-        starts = np.arange(0, max(1, len(words) - wide + step), step)
+        out = []
+        for first, end, longest in self.classes:
+            wide = -(-max(PASSAGE, longest + longest // 8) // 4) * 4
+            for item, hits in sorted(self.hits(tids, at, wide, first, end, theta).items()):
+                hits.sort(key=lambda h: (-h[0], h[1]))
+                for _, start in hits:
+                    near = words[max(0, start - wide) : start + 2 * wide]
+                    q, a = (overlap(p, near) for p in self.parts[item])
+                    if q >= OVERLAP and a >= OVERLAP or overlap([w for p in self.parts[item] for w in p], near) >= OVERLAP:
+                        out.append((item, hits[0][0], q, a))
+                        break
+        return out
+
+    def hits(self, tids: np.ndarray, at: np.ndarray, wide: int, first: int, end: int, theta: float) -> dict[int, list[tuple[float, int]]]:
+        """(score, start) of every window that retrieves an item from ``first`` to before ``end``."""
+        t, step = tids[at], wide // 4
+        starts = np.arange(0, max(1, len(tids) - wide + step), step)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + wide)
         run = np.concatenate([[0.0], np.cumsum(self.most[t])])
-        best: dict[int, tuple[float, int]] = {}
+        found: dict[int, list[tuple[float, int]]] = {}
         live = np.flatnonzero(run[hi] - run[lo] >= theta - 1e-6)
         for j in range(0, len(live), 128):
             part = live[j : j + 128]
@@ -190,17 +211,13 @@ class Index:
             key = key[np.flatnonzero(np.diff(key, prepend=-1))]
             window, query = np.divmod(key, len(self.terms))
             bound = self.bounds(window, query, len(part))
+            bound[:, : first // BLOCK] = 0
+            bound[:, -(-end // BLOCK) :] = 0
             for w in np.flatnonzero(bound.max(axis=1) >= theta - 1e-9).tolist():
                 for item, score in self.search(query[window == w], theta, bound[w]):
-                    if score > best.get(item, (0.0, 0))[0]:
-                        best[item] = (score, int(starts[part[w]]))
-        out = []
-        for item, (score, start) in sorted(best.items()):
-            near = words[max(0, start - wide) : start + 2 * wide]
-            q, a = (overlap(p, near) for p in self.parts[item])
-            if q >= OVERLAP and a >= OVERLAP or overlap([w for p in self.parts[item] for w in p], near) >= OVERLAP:
-                out.append((item, score, q, a))
-        return out
+                    if first <= item < end:
+                        found.setdefault(item, []).append((score, int(starts[part[w]])))
+        return found
 
 
 def shards(benchmark: DataFrame) -> list[Index]:
