@@ -4,10 +4,11 @@ Base spans (leftmost, non-overlapping per kind): ``assign`` ``(password|passwd|s
 with a value of 6 or more characters, letters of the names in either case; ``access`` ``AKIA`` and capitals or digits,
 20 or more characters; ``hex`` runs of 24 or more lower-case hex digits.
 
-The method adds spans of kind ``opaque``: runs of ``MIN_RUN`` or more characters of ``A-Z a-z 0-9 + / = _ -`` that mix
-letters and digits, are covered by no base span, are no known digest (hex of 32, 40, 56, 64, 96 or 128 digits), UUID or
-identifier of words, and need so many tokens of a byte-level BPE vocabulary that a token covers fewer than
-``CHARS_PER_TOKEN`` characters on average.  Text that people write is far above that.
+The method adds spans of kind ``opaque``: runs of ``MIN_RUN`` or more characters of ``A-Z a-z 0-9 + / = _ -`` with
+letters that are no known digest (hex of 32, 40, 56, 64, 96 or 128 digits), UUID or identifier of words, and need so many
+tokens of a byte-level BPE vocabulary that a token covers fewer than ``CHARS_PER_TOKEN`` characters on average.  Text that
+people write is far above that.  Base spans are cut out of a run and what remains is tested; of a remainder that passes,
+the stretches between its UUIDs and words, then their pieces between separators, are tested too.
 
 Defined cases: a null text counts as empty; a null doc_id keeps its row; repeated rows repeat; long texts are scanned
 whole, in linear time.
@@ -36,6 +37,8 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[A-Za-z]?[a-z]*[0-9]{0,4}(?:[-_/=+][A-Za-z]?[a-z]*[0-9]{0,4})*")
+_CAPITALS = re.compile(r"[A-Z]{0,15}(?:[-_/=+][A-Z]{0,15})*")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 _HEX_TABLE = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _RUN_TABLE = bytes(120 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_=-") else 32 for i in range(256))
 _encodings: dict[str, object] = {}
@@ -54,13 +57,51 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def known(run: str) -> bool:
+    """Whether a run has no letters, or is a digest, a UUID or an identifier of words."""
+    if not any(c.isalpha() for c in run) or _DIGEST.fullmatch(run) and len(run) in (32, 40, 56, 64, 96, 128):
+        return True
+    return any(p.fullmatch(run) for p in (_UUID, _WORDS, _CAPITALS))
+
+
 def opaque(run: str, path: str) -> bool:
     """Whether a run's characters per token betray a random string."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
-    if _DIGEST.fullmatch(run) and len(run) in (32, 40, 56, 64, 96, 128) or _UUID.fullmatch(run) or _WORDS.fullmatch(run):
-        return False
-    return len(run) / len(encoding(path).encode_ordinary(run)) < CHARS_PER_TOKEN
+    return not known(run) and len(run) / len(encoding(path).encode_ordinary(run)) < CHARS_PER_TOKEN
+
+
+def stretches(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what lies between the UUIDs and words of a run, then of each piece of these between separators."""
+    ends: list[tuple[int, int]] = []  # whole pieces to test, joined where no word lies between them
+    barred = [m.span() for m in _UUID.finditer(run)]
+    found = [m.span() for m in _PIECE.finditer(run)]
+    k, joins = 0, False
+    for a, b in found:
+        while k < len(barred) and barred[k][1] <= a:
+            k += 1
+        if k < len(barred) and barred[k][0] < b or _WORDS.fullmatch(run, a, b) or _CAPITALS.fullmatch(run, a, b):
+            joins = False
+        elif joins:
+            ends[-1] = (ends[-1][0], b)
+        else:
+            ends.append((a, b))
+            joins = True
+    for a, b in ends:
+        yield a, b
+        yield from (m.span() for m in _PIECE.finditer(run, a, b))
+
+
+def hidden(text: str, start: int, end: int, path: str) -> list[tuple[int, int]]:
+    """The opaque (start, end) of a run or of the remainder of one."""
+    run = text[start:end]
+    if len(run) < MIN_RUN or known(run):
+        return []
+    if opaque(run, path):
+        return [(start, end)]
+    out: list[tuple[int, int]] = []
+    for a, b in stretches(run):
+        if b - a >= MIN_RUN and not (out and start + a < out[-1][1]) and opaque(run[a:b], path):
+            out.append((start + a, start + b))
+    return out
 
 
 def spans(text: str | None, path: str = VOCABULARY) -> list[tuple[str, int, int]]:
@@ -77,9 +118,19 @@ def spans(text: str | None, path: str = VOCABULARY) -> list[tuple[str, int, int]
     if b"x" * 24 in data.translate(_HEX_TABLE):
         out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text) if len(m[0]) >= 24]
     if b"x" * MIN_RUN in data.translate(_RUN_TABLE):
+        base, k = sorted((a, b) for _, a, b in out), 0
+        reach = 0  # the end of the base spans so far
         for m in _RUN.finditer(text):
-            if not any(a < m.end() and m.start() < b for _, a, b in out) and opaque(m[0], path):
-                out.append(("opaque", m.start(), m.end()))
+            while k < len(base) and base[k][0] <= m.start():
+                reach, k = max(reach, base[k][1]), k + 1
+            at = max(m.start(), reach)
+            while k < len(base) and base[k][0] < m.end():
+                if base[k][0] > at:
+                    out += [("opaque", *s) for s in hidden(text, at, base[k][0], path)]
+                reach, k = max(reach, base[k][1]), k + 1
+                at = max(at, reach)
+            if at < m.end():
+                out += [("opaque", *s) for s in hidden(text, at, m.end(), path)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
