@@ -230,6 +230,23 @@ def test_kneser_ney_sums_to_one():
         assert abs(p + rest - 1) < 1e-3
 
 
+def test_language_counts_are_never_cut(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("_row", F.lit(1))
+    docs = docs.where("doc_id < 300").unionByName(spark.createDataFrame([(1000 + k, None if k else "ЖЩЫ фывапр олджэ", None, "", 0, 1) for k in range(2)], docs.schema))
+    every = lambda: {r.doc_id: r for r in lid.identify(docs).collect()}
+    whole, kept = every(), {r.doc_id for r in lid.accepted(docs).collect()}
+    monkeypatch.setattr(lid, "SHARD_CELLS", 20_000)
+    models = lid.learned(docs)
+    grams = {(r.lang, r.key) for r in lid.count_grams(docs).collect()}
+    assert len(models.parts) > 3 and sum(len(p.value.keys[3]) for p in models.parts) == len({k for _, k in grams})
+    parts = every()
+    assert parts.keys() == whole.keys() and {r.doc_id for r in lid.accepted(docs).collect()} == kept
+    for i, r in whole.items():
+        p = parts[i]
+        assert (p.held_out, p.lang_pred, p.rejected) == (r.held_out, r.lang_pred, r.rejected)
+        assert abs(p.score - r.score) < 1e-4 and abs(p.cross_entropy - r.cross_entropy) < 1e-5
+
+
 # 6
 def test_toxicity_catches_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -10,7 +10,10 @@ Rejection: the cross-entropies of a calibration sample of labelled documents (at
 picked by a hash of their text) set a threshold for each language, their largest value times ``SLACK``; a text whose
 best cross-entropy is above its language's threshold is rejected, and so is a text without letters (``und``).
 
-Bound: the models have at most ``MAX_GRAMS`` 4-grams a language; where a corpus has more, the rarest counts go first.
+All counts are kept.  Where the matrices would pass ``SHARD_CELLS`` numbers, they are built and searched in shards by a
+4-gram's third character: the higher orders of a character's probability and their continuation counts all lie in one
+shard, the first order is counted over all of them.  Texts are scored with each shard in turn and the sums added.
+Bound: a shard has at least all 4-grams of one third character.
 
 Defined cases: null, empty and letterless texts get ``und``, score 0 and are rejected; documents without a label or
 text teach nothing; without any labelled document everything is ``und``; a null doc_id is not held out and is not
@@ -21,16 +24,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, stored
 
-ORDER, MAX_GRAMS, CALIBRATION, SLACK, DISCOUNT = 4, 2_000_000, 20_000, 1.5, 0.75
+ORDER, SHARD_CELLS, CALIBRATION, SLACK, DISCOUNT = 4, 8_000_000, 20_000, 1.5, 0.75
 PIECE = 1 << 20
 _U = np.uint64
 _tables: list[np.ndarray] = []
@@ -128,6 +134,7 @@ class Models:
     weights: list[np.ndarray]
     base: np.ndarray
     thresholds: np.ndarray
+    range: tuple[int, int] = (0, 1 << 16)  # the third characters of the 4-grams it scores
 
     def score(self, key: np.ndarray) -> np.ndarray:
         """Log probability [character, language] of the last character of each 4-gram."""
@@ -152,6 +159,10 @@ class Models:
         """Summed negative log probabilities [text, language], and the number of characters that are letters."""
         total, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         for own, key in grams(texts):
+            if self.range != (0, 1 << 16):
+                third = (key >> _U(16)) & _U(0xFFFF)
+                here = (third >= self.range[0]) & (third < self.range[1])
+                own, key = own[here], key[here]
             if not len(own):
                 continue
             at = np.flatnonzero(np.diff(own, prepend=-1))
@@ -160,14 +171,24 @@ class Models:
         return total, size
 
 
+@dataclass
+class Shards:
+    """Models of too many 4-grams for one: a broadcast model for each range of third characters."""
+
+    langs: list[str]
+    parts: list[Broadcast]
+    thresholds: np.ndarray
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from the 4-gram counts (keys, counts) of each language."""
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], first: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> Models:
+    """Models from the 4-gram counts (keys, counts) of each language; those of a shard also need the first order's
+    continuation counts over all shards."""
     langs = sorted(counts)
     sums: list[list] = []
     for lang in langs:
@@ -176,6 +197,8 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         for k in range(ORDER, 0, -1):
             orders.append((keys, n.astype(np.float64)))
             keys, n = np.unique(keys & _U((1 << (16 * (k - 1))) - 1), return_counts=True)  # continuation counts
+        if first is not None:
+            orders[-1] = (first[lang][0], first[lang][1].astype(np.float64))
         sums.append(orders[::-1])
     union = [np.unique(np.concatenate([s[k][0] for s in sums])) for k in range(ORDER)]
     above = [np.unique(u >> _U(16)) for u in union]
@@ -206,27 +229,51 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return Models(langs, union, [x.astype(np.float32) for x in logp], above, [x.astype(np.float32) for x in weights], base.astype(np.float32), np.full(len(langs), np.inf))
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration: int = CALIBRATION) -> Models | None:
-    """Models from all rows of ``docs`` (text, lang); None where nothing is labelled.  The driver holds at most
-    ``max_grams`` keys a language."""
-    table = stored(count_grams(docs))
-    hist = table.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect()
-    least: dict[str, int] = {}
-    for lang in {r["lang"] for r in hist}:
-        kept = 0
-        for n, k in sorted(((r["n"], r["k"]) for r in hist if r["lang"] == lang), reverse=True):
-            if kept + k > max_grams:
-                break
-            kept, least[lang] = kept + k, n
-    counts = {}
-    for lang, n in sorted(least.items()):
-        got = table.where((F.col("lang") == lang) & (F.col("n") >= n)).select("key", "n").toArrow()
-        key = got["key"].to_numpy().view(_U)
+def by_language(got: pa.Table, langs: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The sorted keys and counts of each language of a table (lang, key, n)."""
+    out = {}
+    for lang in langs:
+        own = got.filter(pc.equal(got["lang"], lang))
+        key = own["key"].to_numpy().view(_U)
         order = np.argsort(key)
-        counts[lang] = (key[order], got["n"].to_numpy()[order])
-    if not counts:
+        out[lang] = (key[order], own["n"].to_numpy()[order])
+    return out
+
+
+def learned(docs: DataFrame) -> Models | Shards | None:
+    """The models of the labelled rows of ``docs``, without thresholds."""
+    third = F.shiftright("key", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    table = stored(count_grams(docs).withColumn("third", third).sortWithinPartitions("third"))
+    rows = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(rows)
+    if not langs:
+        return None
+    if sum(rows.values()) * len(langs) <= SHARD_CELLS:
+        return kneser_ney(by_language(table.select("lang", "key", "n").toArrow(), langs))
+    sizes = {r["third"]: r["n"] for r in table.select("third", "key").distinct().groupBy("third").agg(F.count("*").alias("n")).collect()}
+    ends, size = [0], 0
+    for c in sorted(sizes):
+        if size and (size + sizes[c]) * len(langs) > SHARD_CELLS:
+            ends.append(c)
+            size = 0
+        size += sizes[c]
+    ends.append(1 << 16)
+    pairs = table.select("lang", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pair")).distinct()
+    first = by_language(pairs.groupBy("lang", F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.count("*").alias("n")).toArrow(), langs)
+    parts = []
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        got = table.where((F.col("third") >= lo) & (F.col("third") < hi)).select("lang", "key", "n").toArrow()
+        models = kneser_ney(by_language(got, langs), first)
+        models.range = (lo, hi)
+        parts.append(docs.sparkSession.sparkContext.broadcast(models))
+    return Shards(langs, parts, np.full(len(langs), np.inf))
+
+
+def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models | Shards | None:
+    """Models from all rows of ``docs`` (text, lang); None where nothing is labelled."""
+    models = learned(docs)
+    if models is None:
         return None
-    models = kneser_ney(counts)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     parts = max(1, round(rows.count() / calibration))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select(F.lit(None).cast("long").alias("doc_id"), "text")
@@ -241,18 +288,59 @@ def decide(models: Models | None, texts: list[str]) -> tuple[list[str], np.ndarr
     n = len(texts)
     if models is None:
         return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-    total, size = models.entropies(texts)
+    return verdict(models.langs, models.thresholds, *models.entropies(texts))
+
+
+def verdict(langs: list[str], thresholds: np.ndarray, total: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     each = total / np.maximum(size, 1)[:, None]
     best = each.argmin(axis=1)
     score = 1 / np.exp(-(total - total.min(axis=1, keepdims=True)) / 4).sum(axis=1)
-    low = each[np.arange(n), best]
+    low = each[np.arange(len(size)), best]
     empty = size == 0
-    rejected = empty | (low > models.thresholds[best])
-    return ["und" if e else models.langs[k] for e, k in zip(empty, best, strict=True)], np.where(empty, 0, score), np.where(empty, 0, low), rejected
+    rejected = empty | (low > thresholds[best])
+    return ["und" if e else langs[k] for e, k in zip(empty, best, strict=True)], np.where(empty, 0, score), np.where(empty, 0, low), rejected
+
+
+FOUND = "lang_pred string, score double, cross_entropy double, rejected boolean"
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, stored, with a number for each row, and that column's name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def in_turn(docs: DataFrame, row: str, models: Shards) -> DataFrame:
+    """The row's number and verdict of every row: the sums of all shards, each searched by tasks of its own."""
+    names = [f"t{k}" for k in range(len(models.langs))]
+
+    def with_part(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                total, size = sent.value.entropies([t.as_py() or "" for t in b.column("text")])
+                yield pa.RecordBatch.from_arrays([b.column(row), pa.array(size), *map(pa.array, total.T.copy())], [row, "size", *names])
+
+        return map_batches(docs.select(row, "text"), run, ", ".join([f"{row} long, size long", *(f"{x} double" for x in names)]))
+
+    sums = reduce(DataFrame.unionByName, map(with_part, models.parts)).groupBy(row).agg(*(F.sum(x).alias(x) for x in ["size", *names]))
+    langs, thresholds = models.langs, models.thresholds
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.stack([b.column(x).to_numpy() for x in names], 1)
+            lang, score, low, rejected = verdict(langs, thresholds, total, b.column("size").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(row), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], [row, "lang_pred", "score", "cross_entropy", "rejected"])
+
+    return map_batches(sums, judge, f"{row} long, {FOUND}")
 
 
-def scored(docs: DataFrame, models: Models | None) -> DataFrame:
+def scored(docs: DataFrame, models: Models | Shards | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, rejected of every row."""
+    if isinstance(models, Shards):
+        rows, row = numbered(docs.select("doc_id", "text"))
+        return rows.select("doc_id", row).join(in_turn(rows, row, models), row).drop(row)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +348,7 @@ def scored(docs: DataFrame, models: Models | None) -> DataFrame:
             lang, score, low, rejected = decide(sent.value, [t.as_py() or "" for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id long, {FOUND}")
 
 
 def held_out() -> F.Column:
@@ -278,6 +366,9 @@ def accepted(docs: DataFrame) -> DataFrame:
     models = train(docs)
     if models is None:
         return docs
+    if isinstance(models, Shards):
+        rows, row = numbered(docs)
+        return rows.join(in_turn(rows, row, models).where("rejected").select(row), row, "left_anti").select(*docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
