@@ -336,6 +336,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert local_components(7, a, b).tolist() == [0, 0, 2, 0, 4, 0, 6]
 
 
+def test_every_group_keeps_a_row_where_doc_ids_clash(spark):
+    x, y, z = ("".join(f"{c}{k} " for k in range(40)) for c in "xyz")
+    rows = [(1, x), (1, y), (5, y), (5, y), (7, z), (8, x), (0, z), (9, None)]
+    got = sorted((r.doc_id, r.text) for r in simhash_bktree.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("text IS NOT NULL").collect())
+    assert got == [(0, z), (1, x), (1, y)]
+    rows = [(0, y), (1, y), (1, x)]  # one row of doc_id 1 is a copy, the other the first of its group
+    got = sorted((r.doc_id, r.text) for r in simhash_bktree.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, y), (1, x)]
+
+
 # 9
 def test_wrapper_induction(spark):
     page = lambda k: f'<html><body><nav><a href="/">Home</a></nav><div class="box">Same on all</div><div class="main x"><h1>Title {k}</h1><p>Text&nbsp;of <b>page</b> {k}<p>More {k}<script>var x="</p>";</script></div><div id="comments"><p>nice {k}</p></div><footer>f</footer>'

@@ -145,35 +145,40 @@ def links(fps: DataFrame, shard: int = SHARD) -> DataFrame:
     return map_batches(blocks, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of ``docs``."""
+def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp, component_id and root (the component's smallest fingerprint) of every row of ``docs``."""
     fps = stored(fingerprints(docs))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(first.select("fp"), shard)).select(F.col("node").alias("fp"), "root")
     by_fp = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(by_fp.select("fp", "root"), "fp").join(best, "root").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp.select("fp", "root"), "fp").join(best, "root").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of ``docs``."""
+    return grouped(docs, shard).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
 
-    Of repeated rows of that doc_id one stays.  Where a component has no known doc_id, one of its rows stays for each
+    Of repeated rows of that doc_id one stays for each component that it is the smallest of.  Where a component has no known doc_id, one of its rows stays for each
     smallest fingerprint.  Only rows whose doc_id occurs more than once are sorted to choose among them.
     """
     own, u = docs.columns, "_"
     while any(c.startswith(u) for c in own):
         u += "_"
-    n, fp, at, rank, row_fp = (f"{u}{x}" for x in ("n", "fp", "id", "rank", "row_fp"))
-    near = stored(near_duplicates(docs))
+    n, fp, at, rank, row_fp, root, least = (f"{u}{x}" for x in ("n", "fp", "id", "rank", "row_fp", "root", "least"))
+    near = stored(grouped(docs))
     first = near.where(F.col("doc_id") == F.col("component_id"))
-    times = first.groupBy("doc_id").agg(F.count("*").alias(n))
+    times = near.groupBy("doc_id").agg(F.count("*").alias(n), F.max(F.col("doc_id") == F.col("component_id")).alias(least)).where(F.col(least))
     single = docs.join(times.where(F.col(n) == 1).select("doc_id"), "doc_id", "left_semi")
     several = times.where(F.col(n) > 1).select("doc_id")
-    pick = lambda df, key: df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(row_fp, F.xxhash64("text")))).where(F.col(rank) == 1).select(*own)
-    kept = first.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias(at), F.col("fp").alias(fp)).distinct()
+    pick = lambda df, key: df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(row_fp, F.xxhash64("text")))).where(F.col(rank) == 1).select(*own)
+    kept = first.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias(at), F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
     again = fingerprints(docs.join(several, "doc_id", "left_semi"), own, row_fp)
-    again = again.join(kept, (F.col("doc_id") == F.col(at)) & (F.col(row_fp) == F.col(fp)), "left_semi")
+    again = again.join(kept, (F.col("doc_id") == F.col(at)) & (F.col(row_fp) == F.col(fp)))
     unknown = near.where("component_id IS NULL").select(F.col("fp").alias(fp)).distinct()
     nulls = fingerprints(docs.where("doc_id IS NULL"), own, row_fp).join(unknown, F.col(row_fp) == F.col(fp), "left_semi")
-    return single.select(*own).unionByName(pick(again, "doc_id")).unionByName(pick(nulls, row_fp))
+    return single.select(*own).unionByName(pick(again, ["doc_id", root])).unionByName(pick(nulls, [row_fp]))
