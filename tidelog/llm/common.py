@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,34 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[DataFrame]] = []
 MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be unset; a temporary folder takes its place there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may have ended before the process
-            return
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
-atexit.register(_clean)
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` when the driver's JVM ends, however the Python process ends."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
 
 
 @contextmanager
@@ -57,14 +61,19 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` once to the shared folder and reads it back, so lost executors lose nothing."""
+    """Cuts the lineage: writes ``df`` once to the shared folder and reads it back, so lost executors lose nothing.
+
+    The table goes with ``drop_stored``, at the end of a ``released`` block around it, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     with shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
@@ -73,6 +82,28 @@ def drop_stored(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._stored_path)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Frees at its end all tables that were ``stored`` inside; what is built from them must have been written by then."""
+    scope: list[DataFrame] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        for df in scope:
+            drop_stored(df)
+
+
+def loose(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` (with long keys) without what Spark knows of its partitioning.
+
+    A join with an aggregate on the same keys would reuse the aggregate's partitioning, and then a hot key of the other
+    side stays in one task; with both sides dealt for the join, adaptive execution can split that key.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows of an Arrow batch, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -184,8 +215,9 @@ def blocks_in_order(batches: Iterator[pa.RecordBatch], key: str = "block", rows:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as rows (node, root), root the smallest node; isolated nodes have no row.
 
-    Alternates large-star and small-star steps over tables in the shared folder until nothing changes; every step joins
-    and pre-aggregates on a node, so a node with very many edges is never gathered in one place.
+    Alternates large-star and small-star steps over tables in the shared folder until nothing changes.  Every step
+    pre-aggregates on a node before the shuffle and joins in a way that adaptive execution can split, so a node with very
+    many edges need not meet in one task.
     """
 
     def norm(df: DataFrame) -> DataFrame:
@@ -200,9 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(loose(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("b", "m").toDF("a", "b").unionByName(low.toDF("a", "b"))
+        small = large.join(loose(low, "a"), "a").select("b", "m").toDF("a", "b").unionByName(low.toDF("a", "b"))
         nxt = stored(norm(small))
         at = mark(nxt)
         drop_stored(now)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_in_order, components, local_components, map_batches, partitions, stored, triangle_blocks
+from .common import blocks_in_order, components, local_components, loose, map_batches, partitions, stored, triangle_blocks
 
 RADIUS = 3
 SHARD = 4096
@@ -133,7 +133,7 @@ def links(fps: DataFrame, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within the radius of each other, as spanning forests."""
     rows = keyed(fps)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = triangle_blocks(rows.join(sizes, "key"), "key", "fp", "n", shard)
+    blocks = triangle_blocks(rows.join(loose(sizes, "key"), "key"), "key", "fp", "n", shard)
     blocks = blocks.select("block", "side", F.col("_diagonal").alias("diagonal"), "fp").repartition(partitions(fps.sparkSession), "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +146,18 @@ def links(fps: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp, component_id and root (the component's smallest fingerprint) of every row of ``docs``."""
+    """doc_id, fp, component_id and root (the component's smallest fingerprint) of every row of ``docs``.
+
+    Components are labelled over distinct fingerprints; rows then join by their fingerprint, which adaptive execution
+    can split where one fingerprint has many rows.
+    """
     fps = stored(fingerprints(docs))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(first.select("fp"), shard)).select(F.col("node").alias("fp"), "root")
     by_fp = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(by_fp.select("fp", "root"), "fp").join(best, "root").select("doc_id", "fp", "component_id", "root")
+    labels = by_fp.select("fp", "root").join(loose(best, "root"), "root")
+    return fps.join(loose(labels, "fp"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
