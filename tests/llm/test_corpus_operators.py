@@ -220,6 +220,24 @@ def test_language_models_are_distributions_and_predict(spark):
     assert [(r.lang_pred == "und", r.rejected) for r in lid.scored(noise, model).orderBy("doc_id").collect()] == [(False, True), (True, True), (True, True)]
 
 
+def test_long_texts_count_and_score_as_if_whole(monkeypatch):
+    texts = ["the cat " * 30 + "1, 2 -- " * 40 + "sat  on\n" * 20, "", "x", "é" * 90 + " " * 200 + "☃ end of it", "a b c"]
+    whole = [np.concatenate(x) for x in zip(*lid.grams(texts), strict=True)]
+    for piece in (1, 7, 64, 500):
+        monkeypatch.setattr(lid, "PIECE", piece)
+        parts = [np.concatenate(x) for x in zip(*lid.grams(texts), strict=True)]
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(parts[0]) == len(whole[0])
+
+
+def test_one_odd_document_does_not_move_a_threshold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9000, "ЖЩЫ фывапр олджэ ячсмить " * 9, "en"), (9001, "ЖЩЫ фывапр олджэ ячсмить " * 9, "en")], "doc_id long, text string, lang string")
+    few = spark.createDataFrame([(9100 + k, f"чыжы ёлка {k} зима снег", "ru") for k in range(3)], "doc_id long, text string, lang string")
+    a, b = lid.train(docs), lid.train(docs.unionByName(odd).unionByName(few))
+    assert b.langs == ["de", "en", "es", "fr", "ru"]  # no language is lost, however few its texts
+    assert all(abs(b.thresholds[b.langs.index(x)] / a.thresholds[a.langs.index(x)] - 1) < 0.2 for x in a.langs)
+
+
 def test_kneser_ney_sums_to_one():
     _, key = next(lid.grams(["the cat sat on the mat and the dog ran"]))
     models = lid.kneser_ney({"x": np.unique(key, return_counts=True)})
@@ -236,7 +254,7 @@ def test_language_counts_are_never_cut(spark, monkeypatch):
     every = lambda: {r.doc_id: r for r in lid.identify(docs).collect()}
     whole, kept = every(), {r.doc_id for r in lid.accepted(docs).collect()}
     monkeypatch.setattr(lid, "SHARD_CELLS", 20_000)
-    models = lid.learned(docs)
+    models = lid.train(docs)
     grams = {(r.lang, r.key) for r in lid.count_grams(docs).collect()}
     assert len(models.parts) > 3 and sum(len(p.value.keys[3]) for p in models.parts) == len({k for _, k in grams})
     parts = every()

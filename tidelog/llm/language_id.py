@@ -6,8 +6,9 @@ from them as continuation counts.  Each order is one sorted array of keys with a
 for each language, in which the interpolation is already worked out; looking a character up is a binary search.
 The language with the lowest cross-entropy a character wins.
 
-Rejection: the cross-entropies of a calibration sample of labelled documents (at most about ``CALIBRATION`` of them,
-picked by a hash of their text) set a threshold for each language, their largest value times ``SLACK``; a text whose
+Rejection is calibrated on one in ``HELD_BACK`` labelled texts, picked by a hash of the text: models of all the other
+texts score them, and the ``QUANTILE`` of their cross-entropies times ``SLACK``, for each predicted language, is its
+threshold.  (The models that predict learn from all labelled texts, so no language is lost to calibration.)  A text whose
 best cross-entropy is above its language's threshold is rejected, and so is a text without letters (``und``).
 
 All counts are kept.  Where the matrices would pass ``SHARD_CELLS`` numbers, they are built and searched in shards by a
@@ -36,7 +37,8 @@ from pyspark.sql import types as T
 
 from .common import map_batches, stored
 
-ORDER, SHARD_CELLS, CALIBRATION, SLACK, DISCOUNT = 4, 8_000_000, 20_000, 1.5, 0.75
+ORDER, SHARD_CELLS, DISCOUNT = 4, 8_000_000, 0.75
+HELD_BACK, QUANTILE, SLACK = 16, 0.999, 1.5
 PIECE = 1 << 20
 _U = np.uint64
 _tables: list[np.ndarray] = []
@@ -56,28 +58,51 @@ def letters() -> np.ndarray:
     return _tables[0]
 
 
+def codes(text: str) -> np.ndarray:
+    return letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def kept(cp: np.ndarray) -> np.ndarray:
+    """Which characters stay: of a run of spaces the first."""
+    keep = np.ones(len(cp), bool)
+    keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
+    return keep
+
+
+def context_of(text: str, at: int) -> int:
+    """From where on the text before ``at`` has all the characters that a 4-gram at ``at`` can need."""
+    start, step = at, 64
+    while start and kept(codes(text[start:at])).sum() <= ORDER:
+        start, step = max(0, start - step), 4 * step
+    return start
+
+
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces of (text number, 4-gram key of each kept character); characters before a text count as spaces."""
-
-    def cut(part: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-        cp = letters()[np.frombuffer("\n".join(["", *(t for _, t in part)]).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        own = np.repeat([i for i, _ in part], [len(t) + 1 for _, t in part])
-        keep = np.ones(len(cp), bool)
-        keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
-        cp, own = cp[keep], own[keep]
+    """Runs of (text number, 4-gram key of each kept character); characters before a text count as spaces.
+
+    Long texts go in pieces; a piece has the characters before it as context, which count and score with their own piece.
+    """
+
+    def cut(part: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        cp = codes("\n".join(["", *(t for _, t, _ in part)]))
+        size = np.array([len(t) + 1 for _, t, _ in part])
+        own = np.repeat([i for i, _, _ in part], size)
+        old = np.arange(len(cp)) - np.repeat(np.cumsum(size) - size, size) <= np.repeat([n for _, _, n in part], size)
+        keep = kept(cp)
+        cp, own, old = cp[keep], own[keep], old[keep]
         key, n = cp.astype(_U), len(cp)
         for k in range(1, ORDER):
             before = np.full(n, 32, _U)
             if n > k:
                 before[k:] = np.where(own[k:] == own[:-k], cp[:-k], 32)
             key |= before << _U(16 * k)
-        first = np.diff(own, prepend=-1) != 0
-        return own[~first], key[~first]
+        return own[~old], key[~old]
 
     part, size = [], 0
     for i, t in enumerate(texts):
         for k in range(0, max(1, len(t)), PIECE):
-            part.append((i, t[max(0, k - ORDER) if k else 0 : k + PIECE]))
+            start = context_of(t, k)
+            part.append((i, t[start : k + PIECE], k - start))
             size += len(part[-1][1])
             if size >= PIECE:
                 yield cut(part)
@@ -87,15 +112,15 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, key, n: how often each 4-gram occurs in the texts of each language."""
+    """lang, key, n, back: how often each 4-gram occurs in the texts of each language, and in those held back of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple[str, bool], list] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
+            for (lang, back), parts in held.items():
                 k, n = merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(k), np.int32))), pa.array(k.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(k), np.int32))), pa.array(k.view(np.int64)), pa.array(n), pa.array(n * back)], ["lang", "key", "n", "back"])
             held.clear()
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +129,28 @@ def count_grams(docs: DataFrame) -> DataFrame:
             return uniq, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(uniq)).astype(np.int64)
 
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                by.setdefault(lang, []).append(text.as_py())
-            for lang, texts in by.items():
+            by: dict[tuple[str, bool], list[str]] = {}
+            for lang, back, text in zip(b.column("lang").to_pylist(), b.column("back").to_pylist(), b.column("text"), strict=True):
+                by.setdefault((lang, back), []).append(text.as_py())
+            for group, texts in by.items():
                 for _, key in grams(texts):
                     key = np.sort(key)
                     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                    held.setdefault(lang, []).append((key[at], np.diff(np.append(at, len(key)))))
-                if len(held.get(lang, [])) > 16:
-                    held[lang] = [merged(held[lang])]
+                    held.setdefault(group, []).append((key[at], np.diff(np.append(at, len(key)))))
+                if len(held.get(group, [])) > 16:
+                    held[group] = [merged(held[group])]
             if sum(len(p[0]) for parts in held.values() for p in parts) > 3_000_000:
                 yield from flush()
         yield from flush()
 
-    part = map_batches(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"), run, "lang string, key long, n long")
-    return part.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", held_back().alias("back"))
+    part = map_batches(rows, run, "lang string, key long, n long, back long")
+    return part.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("back").alias("back"))
+
+
+def held_back() -> F.Column:
+    """Whether a labelled text serves to calibrate the thresholds."""
+    return F.pmod(F.xxhash64(F.lit(11), F.col("text")), F.lit(HELD_BACK)) == 0
 
 
 @dataclass
@@ -240,10 +271,8 @@ def by_language(got: pa.Table, langs: list[str]) -> dict[str, tuple[np.ndarray,
     return out
 
 
-def learned(docs: DataFrame) -> Models | Shards | None:
-    """The models of the labelled rows of ``docs``, without thresholds."""
-    third = F.shiftright("key", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    table = stored(count_grams(docs).withColumn("third", third).sortWithinPartitions("third"))
+def learned(table: DataFrame) -> Models | Shards | None:
+    """The models of 4-gram counts (lang, key, n, third), without thresholds."""
     rows = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(rows)
     if not langs:
@@ -265,21 +294,22 @@ def learned(docs: DataFrame) -> Models | Shards | None:
         got = table.where((F.col("third") >= lo) & (F.col("third") < hi)).select("lang", "key", "n").toArrow()
         models = kneser_ney(by_language(got, langs), first)
         models.range = (lo, hi)
-        parts.append(docs.sparkSession.sparkContext.broadcast(models))
+        parts.append(table.sparkSession.sparkContext.broadcast(models))
     return Shards(langs, parts, np.full(len(langs), np.inf))
 
 
-def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models | Shards | None:
+def train(docs: DataFrame) -> Models | Shards | None:
     """Models from all rows of ``docs`` (text, lang); None where nothing is labelled."""
-    models = learned(docs)
+    third = F.shiftright("key", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    table = stored(count_grams(docs).withColumn("third", third).sortWithinPartitions("third"))
+    models = learned(table.drop("back"))
     if models is None:
         return None
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = max(1, round(rows.count() / calibration))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select(F.lit(None).cast("long").alias("doc_id"), "text")
-    seen = scored(sample, models).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.max("cross_entropy").alias("x")).collect()
-    top = {r["lang_pred"]: r["x"] for r in seen}
-    models.thresholds = np.array([SLACK * top.get(x, max(top.values(), default=np.inf)) for x in models.langs])
+    judges = learned(table.withColumn("n", F.col("n") - F.col("back")).where("n > 0").drop("back"))
+    sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(held_back()).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    seen = scored(sample, judges).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", QUANTILE, 10_000).alias("x")).collect()
+    top = {r["lang_pred"]: SLACK * r["x"] for r in seen}
+    models.thresholds = np.array([top.get(x, max(top.values(), default=np.inf)) for x in models.langs])
     return models
 
 
