@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.payload import Extension
-from tidelog.operators.subscription import Registry, Subscription, as_frame, sync_plan
+from tidelog.operators.subscription import Registry, StoredRegistry, Subscription, as_frame, sync_plan
 from tidelog.plans.compiler import capture, matched, validate
 from tidelog.sources import changefeed
 
@@ -106,3 +106,24 @@ def test_sync_plan(spark):
     want = [sub("same"), sub("changed", when="true"), sub("fresh")]
     got = {r.key: r.action for r in sync_plan(as_frame(spark, now), as_frame(spark, want)).collect()}
     assert got == {"same": "noop", "changed": "update", "gone": "delete", "fresh": "insert"}
+
+
+def test_stored_subscriptions(spark, tmp_path):
+    path = str(tmp_path / "subs")
+    r = StoredRegistry(spark, path)
+    assert r.all() == [] and r.set_subscriptions(1, [sub("a", ext=[("x.y", "1")]), sub("b")]) == {"insert": 2}
+    other = StoredRegistry(spark, path)
+    assert other.all() == r.all() and other.fingerprint == r.fingerprint and r.all()[0].payload_extensions == (Extension("x.y", "1"),)
+    assert r.set_subscriptions(2, [sub("c", stream=2)]) == {"insert": 1}
+    assert r.set_subscriptions(1, [sub("b", when="new.age > 1"), sub("d")]) == {"insert": 1, "update": 1, "delete": 1}
+    assert r.set_subscriptions(1, [sub("b", when="new.age > 1"), sub("d")]) == {"noop": 2}
+    assert other.refresh() and not other.refresh() and [s.key for s in other.all()] == ["b", "d", "c"]
+    with pytest.raises(ValueError):
+        r.set_subscriptions(1, [sub("c", stream=2)])
+
+
+def test_equal_rows_are_different_changes_and_times_keep_their_microseconds(spark):
+    df = users(spark, (1, "A", 1), (1, "A", 1)).withColumn("at", F.lit("2024-01-02 03:04:05.123456").cast("timestamp_ntz"))
+    feed = changefeed.inserts_from(df, "users", txn_ts=F.lit(T))
+    rows = capture(feed, [sub("k", columns=("id", "at"))], clock=F.lit(T)).collect()
+    assert len({r.id for r in rows}) == 2 and all(json.loads(r.payload)["new"]["at"] == "2024-01-02T03:04:05.123456" for r in rows)

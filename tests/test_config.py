@@ -44,3 +44,14 @@ def test_failures(env, tmp_path):
 def test_lists(env):
     raw = c.load_raw(env | {"APP_STREAM__HOSTS": "a,2,true"}, frozenset({"stream.hosts"}))
     assert raw["stream"]["hosts"] == ["a", 2, True]
+
+
+def test_log_levels():
+    import logging
+
+    assert c.set_log_levels({"APP_LOG": "warn,tidelog.test=debug"}) == {"": "WARN", "tidelog.test": "DEBUG"}
+    assert logging.getLogger("tidelog.test").level == logging.DEBUG
+    assert c.set_log_levels({}) == {"": "INFO"}
+    with pytest.raises(c.BadVariable):
+        c.set_log_levels({"APP_LOG": "loud"})
+    logging.getLogger().setLevel(logging.WARNING)

@@ -73,6 +73,11 @@ def partition_bounds(day: date) -> tuple[str, str]:
     return day.isoformat(), (day + timedelta(days=1)).isoformat()
 
 
+def partition_bounds_columns(day: Column) -> tuple[Column, Column]:
+    """``partition_bounds`` of each day."""
+    return F.date_format(day, "yyyy-MM-dd"), F.date_format(F.date_add(day, 1), "yyyy-MM-dd")
+
+
 def partition_date_column(name: Column) -> Column:
     """The day of each partition name, NULL for names of another form."""
     return F.when(name.rlike("^.+_[0-9]{8}$"), F.try_to_date(F.substring_index(name, "_", -1), "yyyyMMdd"))

@@ -1,15 +1,16 @@
-"""The durable event log: a table partitioned by day and ordered by (created_at, id)."""
+"""The durable event log: a table partitioned by day and by the batch that wrote it, ordered by (created_at, id)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, datetime
-from functools import reduce
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import event_key
+
 SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -30,22 +31,28 @@ class EventNotFound(LookupError):
     """A point lookup found no event."""
 
 
-class InvalidData(ValueError):
-    """A row lacks a required column."""
-
+def append(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds events, a few files for each day, clustered by stream and key.
 
-def append(events: DataFrame, path: str) -> None:
-    """Adds events, a file set for each day."""
-    events.select(SCHEMA.names).write.mode("append").partitionBy("event_date").parquet(path)
+    With a ``batch`` the events replace what that batch has written before, so writing it again changes nothing; other
+    batches and days stay.
+    """
+    rows = events.select(SCHEMA.names).withColumn("batch", F.lit(batch or "direct"))
+    rows = rows.hint("rebalance", "event_date", "stream_id").sortWithinPartitions("event_date", "stream_id", "created_at", "id")  # a large day or stream is split
+    out = rows.write.partitionBy("event_date", "batch")
+    if batch is None:
+        out.mode("append").parquet(path)
+    else:
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path).select(SCHEMA.names)
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(SCHEMA)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path).select(SCHEMA.names)
 
 
 def publication(events: DataFrame, stream_id: int) -> DataFrame:
@@ -110,15 +117,30 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.orderBy("created_at", "id")
 
 
-def first_after_lsn(events: DataFrame, stream_id: int, lsn: int | str, since: datetime | None = None) -> DataFrame:
+def first_after_lsn(events: DataFrame, stream_id: int, lsn: int | str, since: datetime | None = None, no_earlier: datetime | None = None) -> DataFrame:
     """The first event by (created_at, id) with a later position.
 
-    Rows without a position are left out, or, with ``since``, taken by their time instead.
+    Rows without a position are left out, or, with ``since``, taken by their time instead.  ``no_earlier``, a time before
+    which all events are known to be confirmed (the retention's end, the ledger's clock), prunes the log's days.
     """
     later = F.col("lsn") > F.lit(str(lsn)).cast("decimal(20,0)")
     if since is not None:
         later = later | (F.col("lsn").isNull() & (F.col("created_at") > F.lit(since)))
-    return events.where((F.col("stream_id") == stream_id) & later).orderBy("created_at", "id").limit(1)
+    rows = _days(events, no_earlier, None)
+    if no_earlier is not None:
+        rows = rows.where(F.col("created_at") >= F.lit(no_earlier))
+    return rows.where((F.col("stream_id") == stream_id) & later).orderBy("created_at", "id").limit(1)
+
+
+def last_key(events: DataFrame, stream_id: int, start: Key) -> Key | None:
+    """The largest key from ``start`` on; an aggregate, nothing is sorted."""
+    row = replay_range(events, stream_id, start, None, start_inclusive=True).agg(F.max(event_key()).alias("k")).first()
+    return (row["k"]["created_at"], row["k"]["id"]) if row and row["k"] else None
+
+
+def confirmed_positions(events: DataFrame) -> DataFrame:
+    """stream_id, lsn: the highest position of each stream's logged events; NULL where none has one."""
+    return events.groupBy("stream_id").agg(F.max("lsn").alias("lsn"))
 
 
 def batches(events: DataFrame, max_size: int) -> Iterator[list[Row]]:
@@ -144,7 +166,7 @@ def chunk_ids(events: DataFrame, max_size: int, by: str = "stream_id") -> DataFr
 
 def first_and_last(events: DataFrame, *by: str) -> DataFrame:
     """First and last key, and count, of each group."""
-    key = F.struct("created_at", "id")
+    key = event_key()
     return events.groupBy(*by).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
 
 
@@ -165,16 +187,16 @@ def failover_window(events: DataFrame, stream_id: int, checkpoint: Key, consumed
 
 
 def resume(states: DataFrame, events: DataFrame) -> DataFrame:
-    """Each stream's state with its checkpoint event, where that still exists; the states are one row a stream."""
-    e = events.select(F.col("id").alias("failover_checkpoint_id"), F.col("created_at").alias("failover_checkpoint_ts"), F.col("payload").alias("checkpoint_payload"))
-    wanted = states.where("failover_checkpoint_id IS NOT NULL").select("failover_checkpoint_id").distinct()
-    e = e.join(wanted, "failover_checkpoint_id", "left_semi")
-    return states.join(e, ["failover_checkpoint_id", "failover_checkpoint_ts"], "left")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions)
+    """Each stream's state with its checkpoint event, where that still exists; the states are one row a stream.
 
-
-def day_of(ts: datetime) -> date:
-    return ts.date()
+    The checkpoints' keys are read first: they bound the days that are scanned, and go into the filter.
+    """
+    keys = [(r[0], r[1]) for r in states.where("failover_checkpoint_id IS NOT NULL AND failover_checkpoint_ts IS NOT NULL").select("failover_checkpoint_id", "failover_checkpoint_ts").distinct().collect()]
+    found = events.where("false")
+    if keys:
+        found = _days(events, min(t for _, t in keys), max(t for _, t in keys))
+        if "event_date" in events.columns:
+            found = found.where(F.col("event_date").isin([F.lit(t).cast("date") for _, t in keys]))
+        found = found.where(F.col("created_at").isin([t for _, t in keys]) & F.col("id").isin([i for i, _ in keys]))
+    e = found.select(F.col("id").alias("failover_checkpoint_id"), F.col("created_at").alias("failover_checkpoint_ts"), F.col("payload").alias("checkpoint_payload"))
+    return states.join(e, ["failover_checkpoint_id", "failover_checkpoint_ts"], "left")

@@ -77,8 +77,31 @@ def run(spark: SparkSession, path: str, now: datetime, base: str = "events") ->
     return made
 
 
-def bootstrap(spark: SparkSession, path: str) -> None:
-    """Makes an empty log where there is none; safe to repeat."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+MIGRATIONS = {
+    1: "CREATE TABLE IF NOT EXISTS {name} (id STRING NOT NULL, payload STRING NOT NULL, metadata STRING, stream_id BIGINT NOT NULL, created_at TIMESTAMP NOT NULL, event_date DATE, batch STRING) USING parquet PARTITIONED BY (event_date, batch) LOCATION '{path}'",
+    2: "ALTER TABLE {name} ADD COLUMNS (lsn DECIMAL(20,0))",
+}
+
+
+def migrate(spark: SparkSession, path: str, name: str = "events") -> list[int]:
+    """Brings the log's table in the catalogue up to the newest schema; the steps that were done, in order, once each."""
+    done = int(dict(r[:2] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()).get("schema_step", 0)) if spark.catalog.tableExists(name) else 0
+    steps = [k for k in sorted(MIGRATIONS) if k > done]
+    for k in steps:
+        spark.sql(MIGRATIONS[k].format(name=name, path=path))
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('schema_step' = '{k}')")
+    return steps
+
+
+def table_id(spark: SparkSession, name: str = "events") -> str:
+    """The qualified name of a table of the catalogue; LookupError where there is none."""
+    if not spark.catalog.tableExists(name):
+        raise LookupError(f"no table {name}")
+    t = spark.catalog.getTable(name)
+    return ".".join([t.catalog or "spark_catalog", *(t.namespace or []), t.name])
+
+
+def find_table(classes: DataFrame, namespaces: DataFrame, schema: str, name: str) -> DataFrame:
+    """table_id of a table among catalogue rows: classes (table_id, name, namespace_id), namespaces (namespace_id, name)."""
+    spaces = namespaces.where(F.col("name") == schema).select("namespace_id")
+    return classes.where(F.col("name") == name).join(F.broadcast(spaces), "namespace_id").select("table_id")

@@ -78,6 +78,10 @@ class Registry:
     def all(self) -> list[Subscription]:
         return sorted(self._by.values(), key=lambda s: (s.stream_id, s.key, s.schema_name, s.table_name, s.operation))
 
+    def refresh(self) -> bool:
+        """Takes over what has changed where the set is stored, and tells whether anything has."""
+        return False
+
     @property
     def fingerprint(self) -> str:
         return hashlib.sha256(json.dumps([asdict(s) for s in self.all()], sort_keys=True).encode()).hexdigest()
@@ -88,6 +92,61 @@ def as_frame(spark: SparkSession, subscriptions: Iterable[Subscription]) -> Data
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def from_rows(rows: Iterable) -> list[Subscription]:
+    return [
+        Subscription(r["key"], r["stream_id"], r["operation"], r["table_name"], r["schema_name"], r["when_clause"], tuple(r["column_names"] or ()), tuple(Extension(x["json_path"], x["expression"]) for x in r["payload_extensions"] or ()), r["metadata"])
+        for r in rows
+    ]
+
+
+class StoredRegistry(Registry):
+    """Subscriptions that are kept as a table: every change writes the next version, and readers take the newest whole one.
+
+    Writers are one at a time; two that write the same version at once make the later one fail.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.version = spark, path.rstrip("/"), 0
+        self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        super().__init__()
+        self.refresh()
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._root):
+            return []
+        jvm = self.spark.sparkContext._jvm
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def table(self) -> DataFrame:
+        if not self.version:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={self.version}")
+
+    def refresh(self) -> bool:
+        newest = max(self._versions(), default=0)
+        if newest == self.version:
+            return False
+        self.version = newest
+        super().set(from_rows(self.table().collect()))
+        return True
+
+    def set_subscriptions(self, stream_id: int, desired: Iterable[Subscription]) -> dict[str, int]:
+        """Makes ``desired`` the set of one stream: inserts, updates what differs, deletes the rest; how many of each."""
+        self.refresh()
+        desired = list(desired)
+        Registry([s for s in self.all() if s.stream_id != stream_id] + desired)  # duplicates and a wrong stream fail before anything is written
+        if any(s.stream_id != stream_id for s in desired):
+            raise ValueError(f"not all of stream {stream_id}")
+        now, want = self.table().where(F.col("stream_id") == stream_id), as_frame(self.spark, desired)
+        done = {r["action"]: r["count"] for r in sync_plan(now, want).groupBy("action").count().collect()}
+        if set(done) - {"noop"}:
+            apply_sync(self.table(), want, stream_id).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/v={self.version + 1}")
+            self.refresh()
+        return done
+
+
 def sync_plan(current: DataFrame, desired: DataFrame, key: Iterable[str] = KEY, body: Iterable[str] = BODY) -> DataFrame:
     """What brings ``current`` to ``desired``: the key columns and ``action`` (insert, update, delete, noop)."""
     key, body = list(key), list(body)

@@ -12,10 +12,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import epoch_ms, lsn_to_decimal, lsn_to_text, partition_bounds
-from ..functions.payload import Extension
+from ..functions.keys import epoch_ms, lsn_to_decimal, lsn_to_text, partition_bounds_columns
+from ..functions.payload import Extension, to_payload
 from ..operators import eventlog, maintenance
-from ..operators.subscription import Subscription, sync_plan
+from ..operators.subscription import Subscription, apply_sync, sync_plan
 from ..sources import changefeed
 from .compiler import capture, matched
 
@@ -134,11 +134,15 @@ def capture_empty_columns(spark, sf_dir):
     return matched(feed(spark, sf_dir), [s]).select(F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"), F.get_json_object("payload", "$.new").alias("new_image"))
 
 
-@query("select stream_id, created_at, lsn, cast(created_at as date) as event_date, '7' as version, true as time_prefix from (select cast(1 as bigint) as stream_id, ts as created_at, cast(null as decimal(20,0)) as lsn from events where event_type = 'error' union all select cast(2 as bigint), ts, null from events where value > 50)")
+@query("""with x as (select 'errors' as tg_name, cast(1 as bigint) as stream_id, event_id, ts, event_type, value from events where event_type = 'error'
+        union all select 'large', cast(2 as bigint), event_id, ts, event_type, value from events where value > 50),
+    y as (select *, md5(cast(event_id as varchar) || '|' || tg_name || '|' || cast(stream_id as varchar)) as h, lower(lpad(format('{:x}', epoch_us(ts) // 1000), 12, '0')) as t from x)
+    select substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(h, 13, 3) || '-' || ['8', '9', 'a', 'b'][(('0x' || substr(h, 16, 1))::int % 4 + 1)::int] || substr(h, 17, 3) || '-' || substr(h, 20, 12) as id,
+        tg_name, event_id, event_type, stream_id, ts as created_at, cast(null as decimal(20,0)) as lsn, cast(ts as date) as event_date from y""")
 def capture_event_rows(spark, sf_dir):
     rows = capture(feed(spark, sf_dir), [sub("errors", when="new.event_type = 'error'"), sub("large", 2, when="new.value > 50")], clock=F.col("txn_ts"))
-    ms = F.conv(F.replace(F.substr("id", F.lit(1), F.lit(13)), F.lit("-"), F.lit("")), 16, 10).cast("bigint")
-    return rows.select("stream_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "lsn", "event_date", F.substr("id", F.lit(15), F.lit(1)).alias("version"), (ms == F.floor(F.unix_micros("created_at") / 1000)).alias("time_prefix"))
+    p = lambda n: F.get_json_object("payload", f"$.{n}")
+    return ntz(rows.select("id", p("tg_name").alias("tg_name"), p("new.event_id").cast("bigint").alias("event_id"), p("new.event_type").alias("event_type"), "stream_id", "created_at", "lsn", "event_date"))
 
 
 @query("select event_id, cast(round(epoch_us(ts) / 1000.0) as bigint) as ms from events")
@@ -149,7 +153,7 @@ def payload_timestamp_ms(spark, sf_dir):
 @query("select event_id, event_type, value, cast(json_extract(props, '$.k') as bigint) as k from events")
 def payload_json_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    v = e.select(F.parse_json(F.to_json(F.struct(F.struct("event_id", "event_type", "value").alias("new"), F.lit(None).cast("string").alias("old")), {"ignoreNullFields": "false"})).alias("v"), F.parse_json("props").alias("p"))
+    v = e.select(F.parse_json(to_payload({"new": F.struct("event_id", "event_type", "value"), "old": F.lit(None).cast("string")})).alias("v"), F.parse_json("props").alias("p"))
     return v.select(F.variant_get("v", "$.new.event_id", "bigint").alias("event_id"), F.variant_get("v", "$.new.event_type", "string").alias("event_type"), F.variant_get("v", "$.new.value", "double").alias("value"), F.variant_get("p", "$.k", "bigint").alias("k"))
 
 
@@ -240,6 +244,27 @@ def subscription_sync(spark, sf_dir):
     return sync_plan(a, b).select("stream_id", "key", "action")
 
 
+@query("""with a as (select n_nationkey as k, n_regionkey as r, n_name as body from nation where n_nationkey % 5 <> 0),
+    b as (select n_nationkey as k, n_regionkey as r, n_name || '!' as body from nation where n_nationkey % 3 <> 0)
+    select r::bigint as stream_id, 'k' || k as key, body as when_clause from a where r <> 2 union all select r::bigint, 'k' || k, body from b where r = 2""")
+def subscription_set(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    shape = lambda df, body: df.select(F.col("n_regionkey").cast("bigint").alias("stream_id"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), body.alias("when_clause"))
+    return apply_sync(shape(n.where("n_nationkey % 5 <> 0"), F.col("n_name")), shape(n.where("n_nationkey % 3 <> 0"), F.concat("n_name", F.lit("!"))), 2)
+
+
+@query(f"select stream_id, cast(max(lsn) as decimal(20,0)) as lsn from {LOG} where created_at < timestamp '2024-01-20' group by 1")
+def position_ledger(spark, sf_dir):
+    return eventlog.confirmed_positions(log(spark, sf_dir).where(F.col("created_at") < F.lit(datetime(2024, 1, 20))))
+
+
+@query("select cast(n_nationkey as bigint) as table_id from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_name = 'CHINA'")
+def table_lookup(spark, sf_dir):
+    classes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("table_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("namespace_id"))
+    spaces = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("namespace_id"), F.col("r_name").alias("name"))
+    return maintenance.find_table(classes, spaces, "ASIA", "CHINA")
+
+
 @query("select distinct 'events_' || strftime(ts, '%Y%m%d') as name, cast(ts as date) as date from events")
 def partitions_list(spark, sf_dir):
     return maintenance.existing_partitions(log(spark, sf_dir))
@@ -260,8 +285,8 @@ def partitions_create(spark, sf_dir):
 @query("select distinct 'events_' || strftime(ts, '%Y%m%d') as name, strftime(ts, '%Y-%m-%d') as low, strftime(ts + interval 1 day, '%Y-%m-%d') as high from events")
 def partitions_bounds(spark, sf_dir):
     days = maintenance.existing_partitions(log(spark, sf_dir))
-    assert partition_bounds(NOW.date()) == ("2024-01-15", "2024-01-16")
-    return days.select("name", F.date_format("date", "yyyy-MM-dd").alias("low"), F.date_format(F.date_add("date", 1), "yyyy-MM-dd").alias("high"))
+    low, high = partition_bounds_columns(F.col("date"))
+    return days.select("name", low.alias("low"), high.alias("high"))
 
 
 @query(f"""select stream_id, count(*) as events_processed, arg_max(id, (created_at, id)) as last_id, max(created_at) as last_at,
@@ -302,6 +327,6 @@ def capture_lineitem_fanout(spark, sf_dir):
     rows = changefeed.inserts_from(table(spark, sf_dir, "lineitem"), "lineitem", txn_ts=F.col("l_shipdate"))
     cols = ("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     subs = [sub("bulk_returns", when="new.l_quantity > 45 and new.l_returnflag = 'R'", columns=cols, table_name="lineitem"), sub("discounted", 2, when="new.l_discount >= 0.09", columns=cols, table_name="lineitem")]
-    p = lambda c, t: F.get_json_object("payload", f"$.new.{c}").cast(t).alias(c)
-    return matched(rows, subs).select(p("l_orderkey", "bigint"), p("l_linenumber", "int"), p("l_quantity", "double"), p("l_returnflag", "string"))
+    kind = "new struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_returnflag:string>"
+    return matched(rows, subs).select(F.from_json("payload", kind).alias("p")).select("p.new.*")
 

@@ -32,14 +32,14 @@ def pre_filter(subscriptions: Iterable[Subscription]) -> Column:
         if all(s.condition for s in group):
             term = term & reduce(Column.__or__, [F.expr(f"({s.condition})") for s in group])
         terms.append(term)
-    return reduce(Column.__or__, terms, F.lit(False)) if not terms else reduce(Column.__or__, terms)
+    return reduce(Column.__or__, terms, F.lit(False))
 
 
 def fires(s: Subscription) -> Column:
     return place(s) & F.expr(f"({s.condition})") if s.condition else place(s)
 
 
-def matched(feed: DataFrame, subscriptions: Iterable[Subscription], members: dict[str, Column] | None = None) -> DataFrame:
+def matched(feed: DataFrame, subscriptions: Iterable[Subscription]) -> DataFrame:
     """The feed, a row for each subscription that a change fires: its columns, ``tg_name``, ``stream_id``, ``payload``."""
     subs = sorted(subscriptions, key=lambda s: (s.key, s.stream_id, s.schema_name, s.table_name, s.operation))
     if not subs:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
@@ -10,7 +11,7 @@ from pathlib import Path
 from typing import Any
 
 PREFIX, NESTING, FILES = "APP_", "__", ("yaml", "yml", "json")
-DIRECTORY, ENVIRONMENT = "APP_CONFIG_DIR", "APP_ENVIRONMENT"
+DIRECTORY, ENVIRONMENT, LOG_LEVEL = "APP_CONFIG_DIR", "APP_ENVIRONMENT", "APP_LOG"
 ENVIRONMENTS = ("prod", "staging", "dev")
 
 
@@ -79,6 +80,20 @@ class Pipeline:
     sink: Mapping[str, Any] = field(default_factory=lambda: {"type": "memory"})
 
 
+def set_log_levels(env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Sets logger levels from a filter such as ``info,tidelog.streaming=debug``; by default info for all."""
+    levels = {"": "INFO"}
+    for part in (env if env is not None else os.environ).get(LOG_LEVEL, "").split(","):
+        name, _, level = part.strip().rpartition("=")
+        if level:
+            levels[name] = level.upper()
+    for name, level in levels.items():
+        if level not in ("TRACE", "DEBUG", "INFO", "WARN", "WARNING", "ERROR", "OFF"):
+            raise BadVariable(f"{LOG_LEVEL}: {level}")
+        logging.getLogger(name or None).setLevel({"TRACE": "DEBUG", "OFF": "CRITICAL"}.get(level, level))
+    return levels
+
+
 def environment(env: Mapping[str, str] | None = None) -> str:
     name = (env if env is not None else os.environ).get(ENVIRONMENT, "prod").lower()
     if name not in ENVIRONMENTS:
@@ -166,7 +181,7 @@ def load_raw(env: Mapping[str, str] | None = None, lists: frozenset[str] = froze
     if own is not None:
         out = merged(out, _read(own))
     for name, text in sorted(env.items()):
-        if not name.startswith(PREFIX) or name in (DIRECTORY, ENVIRONMENT):
+        if not name.startswith(PREFIX) or name in (DIRECTORY, ENVIRONMENT, LOG_LEVEL):
             continue
         path = name[len(PREFIX) :].lower().split(NESTING)
         if not all(path):

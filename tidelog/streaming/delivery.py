@@ -3,8 +3,13 @@
 Healthy: batches go to the sink in order.  A failed batch puts the stream in failover at the batch's first event; the
 source goes on.  In failover every tick (or the retry timer) first delivers the checkpoint event, then replays in order
 what the source passed on since, moves the checkpoint with every replayed batch, and turns healthy at the end; only then
-the current batch is delivered, without what the replay has delivered.  While the retry fails, batches are withheld and
-the checkpoint never moves past an event that was not delivered.
+the current batch is delivered, without what the replay has delivered.  While the retry fails, batches are withheld; events
+reach the source in commit order, which is not key order, so a withheld batch may begin before the checkpoint, which
+then moves back to it.  The checkpoint never is past an event that was not delivered; what lies between is delivered
+again at worst.
+
+Events pass through the driver one batch at a time: a stream is one ordered sink's.  Times without a zone are local ones,
+as the rows of a query have them.
 """
 
 from __future__ import annotations
@@ -31,6 +36,11 @@ def key_of(e: Event) -> Key:
     return e["created_at"], e["id"]
 
 
+def seconds(a: datetime, b: datetime) -> float:
+    """From ``b`` to ``a``, whether or not they have a zone."""
+    return a.timestamp() - b.timestamp()
+
+
 class Log(Protocol):
     def find(self, key: Key) -> Event | None: ...
 
@@ -66,17 +76,17 @@ class Delivery:
         self.metrics.gauge(m.ACTIVE, 0 if self.state.healthy else 1, stream_id=self.id)
 
     def _maintenance(self) -> None:
-        if self.maintain is None or self.clock() < self.state.next_maintenance_at:
+        if self.maintain is None or seconds(self.clock(), self.state.next_maintenance_at) < 0:
             return
         began = self.clock()
         try:
             self.maintain(began)
             self.metrics.count(m.RUNS, result="success", stream_id=self.id)
-            self.metrics.observe(m.RUN_MS, (self.clock() - began).total_seconds() * 1000, stream_id=self.id)
+            self.metrics.observe(m.RUN_MS, seconds(self.clock(), began) * 1000, stream_id=self.id)
         except Exception:
             log.exception("maintenance failed")
             self.metrics.count(m.RUNS, result="failure", stream_id=self.id)
-        while self.state.next_maintenance_at <= began:
+        while seconds(began, self.state.next_maintenance_at) >= 0:
             self.state.next_maintenance_at += PERIOD
         self._save()
 
@@ -122,7 +132,7 @@ class Delivery:
             self.metrics.count(m.REPLAYED, len(part), stream_id=self.id)
             self._move(part[-1])
         if self.state.entered_at is not None:
-            self.metrics.observe(m.FAILOVER_SECONDS, (self.clock() - self.state.entered_at).total_seconds(), stream_id=self.id)
+            self.metrics.observe(m.FAILOVER_SECONDS, seconds(self.clock(), self.state.entered_at), stream_id=self.id)
         self.state.checkpoint = self.state.consumed = self.state.entered_at = self._cached = None
         self.metrics.count(m.RECOVERED, stream_id=self.id)
         self._save()
@@ -140,6 +150,8 @@ class Delivery:
                 done = self._recover(key_of(batch[0]))
                 if done is None:
                     self.state.consumed = max(self.state.consumed or last, last)
+                    if key_of(batch[0]) < self.state.checkpoint:
+                        self.state.checkpoint, self._cached = key_of(batch[0]), (key_of(batch[0]), batch[0])
                     self._save()
                     return
                 batch = [e for e in batch if e["id"] not in done]
@@ -147,9 +159,7 @@ class Delivery:
                     return
             if self._publish(batch):
                 self.metrics.count(m.EVENTS, len(batch), stream_id=self.id)
-                at = last[0] if last[0].tzinfo else last[0].replace(tzinfo=UTC)
-                now = self.clock()
-                self.metrics.gauge(m.LAG, ((now if now.tzinfo else now.replace(tzinfo=UTC)) - at).total_seconds() * 1000, stream_id=self.id)
+                self.metrics.gauge(m.LAG, seconds(self.clock(), last[0]) * 1000, stream_id=self.id)
                 return
             self.state.checkpoint, self.state.consumed, self.state.entered_at = key_of(batch[0]), last, self.clock()
             self._cached = (self.state.checkpoint, batch[0])
