@@ -20,7 +20,8 @@ row key, draw and chunk: a row's result depends on nothing else, however rows ar
 Decoding reverses pieces and bytes; ``decode(ids) == text`` holds for every text that has no literal space mark.
 
 Defined cases: a null text counts as empty; an empty text has one segmentation without pieces (inclusion 1); texts with
-fewer than ``k`` segmentations give all they have; repeated rows repeat their result; a null doc_id is key 0.
+fewer than ``k`` segmentations give all they have; repeated rows repeat their result; a null doc_id has the key
+``NULL_KEY``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame
 from .common import map_batches, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DRAWS, SMOOTHING, BATCH_CHARS, CACHE_CHUNKS, SHORT = 2, 10.0, 1 << 20, 500_000, 48
+DRAWS, SMOOTHING, BATCH_CHARS, CACHE_CHUNKS, CACHE_LATTICES, SHORT = 2, 10.0, 1 << 19, 300_000, 4_000, 48
+NULL_KEY = -(1 << 63)
 MARK = "▁"
 Path = tuple[int, ...]
 _samplers: dict[str, "Sampler"] = {}
@@ -55,6 +57,12 @@ class Column:
         self.data[self.n : need] = more
         self.n = need
 
+    def cut(self, n: int) -> None:
+        """Forgets all from number ``n`` on."""
+        self.n = n
+        if len(self.data) > 4 * max(n, 1 << 18):
+            self.data = self.data[: 2 * max(n, 1024)].copy()
+
     def view(self) -> np.ndarray:
         return self.data[: self.n]
 
@@ -137,7 +145,7 @@ class Sampler:
             log_b[i] = top + math.log(sum(math.exp(e[1] - top) for e in edges))
             out.append([(j, math.exp(lp - log_b[i]), ids) for j, lp, ids in edges])
         out.reverse()
-        if len(self.lattices) > 20_000:
+        if len(self.lattices) > CACHE_LATTICES:
             self.lattices.clear()
         if n <= 4 * SHORT:
             self.lattices[chunk] = out
@@ -222,7 +230,12 @@ class Sampler:
         flat = [c for p in parts for c in p]
         self.best([c for c in dict.fromkeys(flat) if c not in self.known])
         first = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        return Search(self, np.array([x & ((1 << 64) - 1) for x in keys], np.uint64), flat, first, np.array([len(p) for p in parts])).run(k)
+        columns = (self.log_p, self.at, self.n, self.ids)
+        sizes = [c.n for c in columns]  # the best ones stay; what is drawn besides belongs to these texts only
+        out = Search(self, np.array([x & ((1 << 64) - 1) for x in keys], np.uint64), flat, first, np.array([len(p) for p in parts])).run(k)
+        for column, size in zip(columns, sizes, strict=True):
+            column.cut(size)
+        return out
 
 
 def parted(chunks: list[str], chars: int = 200_000) -> Iterator[list[str]]:
@@ -477,7 +490,7 @@ def encode(docs: DataFrame, draws: int = DRAWS, path: str = MODEL, with_ids: boo
 
         def part(ids: list, texts: list[str]) -> pa.RecordBatch:
             rows = []
-            for i, t, found in zip(ids, texts, lattice.sample([i or 0 for i in ids], texts, draws), strict=True):
+            for i, t, found in zip(ids, texts, lattice.sample([NULL_KEY if i is None else i for i in ids], texts, draws), strict=True):
                 back = lattice.sp.decode([x[2].tolist() for x in found], num_threads=1)
                 rows += [(i, n, lp, inc, len(x), s == t, xxhash.xxh64_hexdigest(x.astype("<i4").tobytes(), 0), x) for n, ((lp, inc, x), s) in enumerate(zip(found, back, strict=True))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
