@@ -60,14 +60,26 @@ CHECKED = {"email": 0, "ip": 30, "card": 30, "phone": 0, "iban": 30, "ssn": 0}
 SPAN = "array<struct<start:int,k:int,end:int,score:int>>"
 
 
+def starts_of(found: str, pieces: str) -> str:
+    """SQL for the start of each match, from the matches and the pieces between them.
+
+    Prefix sums in two steps, over runs of about as many lengths as there are runs: n matches take n ** 1.5 steps, and no
+    array grows by more than one element a run.
+    """
+    lengths = "zip_with(f, slice(p, 1, size(f)), (m, q) -> length(m) + length(q))"
+    total = "aggregate(slice(b.l, {at}, {n}), 0, (a, y) -> a + y)"
+    runs = f"aggregate(sequence(0, cast((size(b.l) - 1) div b.c as int)), array(0), (a, i) -> concat(a, array(element_at(a, -1) + {total.format(at='i * b.c + 1', n='b.c')})))"
+    run = "cast(k div b.c as int)"
+    before = f"transform(b.l, (x, k) -> o[{run}] + {total.format(at=f'{run} * b.c + 1', n='k % b.c')})"
+    summed = f"transform(array(named_struct('l', {lengths}, 'c', cast(ceil(sqrt(size(f))) as int))), b -> transform(array({runs}), o -> {before})[0])[0]"
+    return f"transform(array({found}), f -> transform(array({pieces}), p -> zip_with({summed}, slice(p, 1, size(f)), (s, q) -> s + length(q)))[0])[0]"
+
+
 def spans_of(kind: str) -> str:
     """SQL for the confirmed spans of one kind in the text ``t``: start, kind number, end, score."""
     regex, k = PATTERNS[kind], KINDS.index(kind)
     found = f"regexp_extract_all(t, '{regex}', 0)"
-    pieces = f"split(t, '{regex}', -1)"
-    placed = f"""aggregate(zip_with({found}, slice({pieces}, 1, size({found})), (m, p) -> named_struct('m', m, 'p', length(p))),
-        named_struct('at', 0, 'out', cast(array() as array<struct<m:string,start:int>>)),
-        (acc, x) -> named_struct('at', acc.at + x.p + length(x.m), 'out', concat(acc.out, array(named_struct('m', x.m, 'start', acc.at + x.p))))).out"""
+    placed = f"zip_with({found}, {starts_of(found, f"split(t, '{regex}', -1)")}, (m, s) -> named_struct('m', m, 'start', s))"
     kept = f"filter({placed}, x -> transform(array(x.m), m -> {CHECKS[kind]})[0])"
     context = f"lower(substr(t, greatest(x.start - {NEAR}, 0) + 1, least(x.start, {NEAR}))) rlike '(^|[^a-z])({CONTEXT[kind]})'"
     scored = f"transform({kept}, x -> named_struct('start', x.start, 'k', {k}, 'end', x.start + length(x.m), 'score', {50 + CHECKED[kind]} + if({context}, 20, 0)))"
