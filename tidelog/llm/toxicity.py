@@ -1,13 +1,13 @@
 """Toxicity by a classifier chain of linear models.
 
-The chain predicts its categories one after the other: low quality, toxic, and toxic in good prose.  Each link is a
-logistic regression on hashed features of the whole text (words, and the first characters of words), each scaled by the
-log ratio of its frequencies in the two classes, and on the probabilities of the earlier links.  While training, those probabilities are out-of-fold predictions (``FOLDS`` folds
-by a hash of the document), so later links learn from what earlier ones would say about unseen text.
+The chain predicts its categories one after the other: low quality, toxic, and toxic in good prose (the categories that
+the two labels, quality and toxic, make).  Each link is a logistic regression on hashed features of the whole text (words,
+and the first characters of words), each scaled by the log ratio of its frequencies in the two classes, and on the
+probabilities of the earlier links.  While training, those probabilities are out-of-fold predictions (``FOLDS`` folds by a
+hash of the document), so later links learn from what earlier ones would say about unseen text.
 
 The models are fitted on the driver, on at most about ``SAMPLE`` labelled documents picked by a hash of their doc_id;
-what the driver gets of each is its feature set, at most ``DOC_FEATURES`` features (a longer document is represented in
-training by those with the smallest hashes; predictions use all).
+what the driver gets of each is its whole feature set, at most ``DIMENSIONS`` numbers.
 
 Defined cases: null and empty texts have no features and score what the intercepts give; labels that are null count as
 unlabelled for their category; documents with several labels teach each of them; without labels, or with one class
@@ -28,7 +28,7 @@ from .common import WordHash, map_batches
 
 CHAIN = ("low_quality", "toxic", "toxic_prose")
 SCALE, LEAST_DOCS, PRIOR = -0.25, 2, 0.5
-DIMENSIONS, SAMPLE, DOC_FEATURES, FOLDS, PREFIX = 1 << 18, 6_000, 2_000, 4, 5
+DIMENSIONS, SAMPLE, FOLDS, PREFIX = 1 << 18, 6_000, 4, 5
 _CUT = str.maketrans({c: " " for c in ".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`@"})
 
 
@@ -73,19 +73,23 @@ def fit_link(rows: list[np.ndarray], early: np.ndarray, y: np.ndarray, epochs: i
     ratio[docs < LEAST_DOCS] = 0
     held = docs[flat] >= LEAST_DOCS
     flat, owner = flat[held], owner[held]
+    used = np.flatnonzero(docs >= LEAST_DOCS)  # the steps work on these only
     x = ratio[flat] * (np.maximum(sizes, 1) ** SCALE)[owner]
+    flat = np.searchsorted(used, flat)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    theta = [np.zeros(DIMENSIONS), np.zeros(early.shape[1]), np.zeros(1)]
+    theta = [np.zeros(len(used)), np.zeros(early.shape[1]), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for t in range(1, epochs + 1):
         z = np.bincount(owner, x * theta[0][flat], len(rows)) + early @ theta[1] + theta[2][0]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [np.bincount(flat, g[owner] * x, DIMENSIONS) + l2 * theta[0], early.T @ g + l2 * theta[1], np.array([g.sum()])]
+        grads = [np.bincount(flat, g[owner] * x, len(used)) + l2 * theta[0], early.T @ g + l2 * theta[1], np.array([g.sum()])]
         for p, gp, mp, vp in zip(theta, grads, m, v, strict=True):
             mp += 0.1 * (gp - mp)
             vp += 0.001 * (gp * gp - vp)
             p -= 0.1 * (mp / (1 - 0.9**t)) / (np.sqrt(vp / (1 - 0.999**t)) + 1e-8)
-    return theta[0] * ratio, theta[1], float(theta[2][0])
+    words = np.zeros(DIMENSIONS)
+    words[used] = theta[0] * ratio[used]
+    return words, theta[1], float(theta[2][0])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
@@ -123,10 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         for b in batches:
             rows = []
             for t in b.column("text"):
-                f = features(t.as_py(), known)
-                if len(f) > DOC_FEATURES:
-                    f = f[np.argsort(f * np.int64(2654435761) % (1 << 32))[:DOC_FEATURES]]
-                rows.append(f)
+                rows.append(features(t.as_py(), known))
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_q"), b.column("_t"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))], ["doc_id", "q", "t", "f"])
 
