@@ -6,8 +6,9 @@ with a value of 6 or more characters, letters of the names in either case; ``acc
 
 The method adds spans of kind ``opaque``: runs of ``MIN_RUN`` or more characters of ``A-Z a-z 0-9 + / = _ -`` with
 letters that are no known digest (hex of 32, 40, 56, 64, 96 or 128 digits), UUID or identifier of words, and need so many
-tokens of a byte-level BPE vocabulary that a token covers fewer than ``CHARS_PER_TOKEN`` characters on average.  Text that
-people write is far above that.  Base spans are cut out of a run and what remains is tested; of a remainder that passes,
+tokens of a byte-level BPE vocabulary that a token covers fewer than ``CHARS_PER_TOKEN`` characters on average
+(``LETTERS_PER_TOKEN`` in a single run of small letters, which counts as a word up to ``WORD`` letters).  Text that people
+write is far above that.  Base spans are cut out of a run and what remains is tested; of a remainder that passes,
 the stretches between its UUIDs and words, then their pieces between separators, are tested too.
 
 Defined cases: a null text counts as empty; a null doc_id keeps its row; repeated rows repeat; long texts are scanned
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import map_batches
 
 KINDS = ("assign", "access", "hex", "opaque")
-MIN_RUN, CHARS_PER_TOKEN = 20, 2.2
+MIN_RUN, CHARS_PER_TOKEN, LETTERS_PER_TOKEN, WORD = 20, 2.2, 1.9, 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -36,7 +37,9 @@ _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_WORDS = re.compile(r"[A-Za-z]?[a-z]*[0-9]{0,4}(?:[-_/=+][A-Za-z]?[a-z]*[0-9]{0,4})*")
+_PART = rf"[A-Za-z]?[a-z]{{0,{WORD - 1}}}[0-9]{{0,4}}"
+_WORDS = re.compile(f"{_PART}(?:[-_/=+]{_PART})*")
+_LETTERS = re.compile(r"[A-Za-z][a-z]*")
 _CAPITALS = re.compile(r"[A-Z]{0,15}(?:[-_/=+][A-Z]{0,15})*")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
 _HEX_TABLE = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -66,7 +69,8 @@ def known(run: str) -> bool:
 
 def opaque(run: str, path: str) -> bool:
     """Whether a run's characters per token betray a random string."""
-    return not known(run) and len(run) / len(encoding(path).encode_ordinary(run)) < CHARS_PER_TOKEN
+    least = LETTERS_PER_TOKEN if _LETTERS.fullmatch(run) else CHARS_PER_TOKEN
+    return not known(run) and len(run) / len(encoding(path).encode_ordinary(run)) < least
 
 
 def stretches(run: str) -> Iterator[tuple[int, int]]:
