@@ -12,6 +12,9 @@ the host (so titles, leads or sections beside the root stay), without regions th
 or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).  Character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by one space.
 
+Class words count as a whole, or in compounds with words that say nothing; ``lists=False`` leaves them, and the names of
+elements, out.
+
 Defined cases: null html gives an empty text; null or odd urls share the host ''; broken markup is read leniently (open
 elements end with their parents, an article ends open boilerplate regions, an unclosed script ends the page); repeated
 pages repeat; hosts and layouts with one different page, or without varying text, have no template and no root.
@@ -35,59 +38,80 @@ from .common import map_batches, stored
 SHARE, BROADCAST, LAYOUT_LEVELS, DEPTH = 0.8, 500_000, 3, 256
 
 # Element names and class words of the markup language and of common page furniture.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "textarea", "select", "button", "head", "title", "canvas", "audio", "video", "map", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "button", "head", "title", "canvas", "audio", "video", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "select", "menu", "article", "section", "div", "main", "body"}
 MAIN = {"html", "body", "main", "article"}
 CONTAINERS = MAIN | {"div", "section", "header", "footer", "nav", "aside", "form"}
+NUMBERED = CONTAINERS | {"td", "th", "ul", "ol", "dl", "table"}
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "search", "form", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "widget", "copyright", "skip", "toolbar"}
 HEADS = {"header", "masthead", "topbar", "head"}
+PLAIN = {"article", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "container", "content", "desktop", "fixed", "global", "inner", "item", "items", "js", "left", "link", "links", "list", "local", "main", "mobile", "outer", "page", "panel", "post", "primary", "reader", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "texts", "silent", "path")
+    """``path`` has the keys down to the element; ``place`` also numbers containers among the like children of their parent."""
+
+    __slots__ = ("tag", "key", "children", "texts", "silent", "path", "place", "seen")
 
-    def __init__(self, tag: str, key: str, silent: bool, path: str):
-        self.tag, self.key, self.silent, self.path = tag, key, silent, path
+    def __init__(self, tag: str, key: str, silent: bool, path: str, place: str):
+        self.tag, self.key, self.silent, self.path, self.place = tag, key, silent, path, place
         self.children: list[Node] = []
         self.texts: list[str] = []
+        self.seen: dict[str, int] = {}  # containers among its children, by key
+
+
+def names(token: str, words: set[str]) -> bool:
+    """Whether a class or id is one of ``words``, or made of them and of words that say nothing (``site-footer``, but not
+    ``notice-period``)."""
+    parts = [w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w]
+    return not words.isdisjoint(parts) and all(p in WORDS or p in HEADS or p in PLAIN or p.isdigit() for p in parts)
 
 
-def furniture(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """The key of an element (its name and first class word) and whether it is boilerplate; ``inside``: in an article."""
-    bad = tag in FURNITURE or tag in SILENT or tag == "header" and not inside
+def furniture(tag: str, attrs: str, inside: bool, lists: bool = True) -> tuple[str, bool]:
+    """The key of an element (its name and first class word) and whether it is boilerplate; ``inside``: in an article.
+
+    Without ``lists`` only what shows no text is boilerplate, and the wrapper alone decides about the rest.
+    """
+    bad = tag in SILENT or lists and (tag in FURNITURE or tag == "header" and not inside)
     first = ""
     if attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words = [w for w in _SPLIT.split(value) if w]
-                if words and name == "class":
-                    first = words[0]
-                if tag not in MAIN and (not WORDS.isdisjoint(words) or not inside and not HEADS.isdisjoint(words)):
+                if not first and name == "class":
+                    first = next((w for w in _SPLIT.split(value.lower()) if w), "")
+                if lists and tag not in MAIN and any(names(t, WORDS) or not inside and names(t, HEADS) for t in value.split()):
                     bad = True
             elif name == "role":
-                bad |= value in ROLES and tag not in MAIN
-            elif name == "hidden" or value == "true":
+                bad |= lists and value.lower() in ROLES and tag not in MAIN
+            elif name == "hidden" or value.lower() == "true":
                 bad = True
     return f"{tag}.{first}" if first else tag, bad
 
 
-def parse(page: str | None) -> tuple[Node, list[tuple[str, str, bool]]]:
-    """The DOM tree of a page, and its blocks in order: (path, text, boilerplate)."""
-    root = Node("", "", False, "")
+def parse(page: str | None, lists: bool = True) -> tuple[Node, list[tuple[Node, str]]]:
+    """The DOM tree of a page, and its blocks in order: (element, text).  Paths end at the level ``DEPTH``."""
+    root = Node("", "", False, "", "")
     stack, blocks, part = [root], [], []
+    opened: dict[str, int] = {}  # how many elements of each name are open
     text = page or ""
 
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
     def flush() -> None:
         if part:
             joined = " ".join(html_.unescape("".join(part)).split())
@@ -95,7 +119,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, bool]]]:
             if joined:
                 top = stack[-1]
                 top.texts.append(joined)
-                blocks.append((top.path, joined, top.silent))
+                blocks.append((top, joined))
 
     at, end = 0, len(text)
     inside = 0
@@ -113,14 +137,14 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, bool]]]:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if opened.get(tag) else 0
             if tag not in INLINE:
                 flush()
             if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k:])):
                 if stack[-1].silent != stack[k - 1].silent:
                     flush()
                 inside -= sum(n.tag in ("article", "main") for n in stack[k:])
-                del stack[k:]
+                close(k)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -129,36 +153,41 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, bool]]]:
         if tag not in INLINE:
             flush()
             if tag in ("article", "main"):
-                k = next((k for k, n in enumerate(stack) if n.silent), 0)
+                k = next((k for k, n in enumerate(stack) if n.silent), 0) if stack[-1].silent else 0
                 if k:
-                    del stack[k:]
+                    close(k)
             if tag == "p" or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-                if k and all(n.tag in INLINE or n.tag == "p" for n in stack[k:]):
-                    del stack[k:]
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag not in INLINE), 0)
+                if stack[k].tag == "p":
+                    close(k)
             elif tag in ENDS:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in ENDS[tag]:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in LISTS:
                         break
-        key, bad = furniture(tag, m[3] or m[6] or "", inside > 0)
+        key, bad = furniture(tag, m[3] or m[6] or "", inside > 0, lists)
         up = stack[-1]
         if bad and not up.silent:
             flush()
-        deep = len(stack) > DEPTH
-        node = Node(tag, key, up.silent or bad, up.path if deep else f"{up.path}/{key}")
+        path, place = up.path, up.place
+        if len(stack) <= DEPTH:
+            nth = ""
+            if tag in NUMBERED:
+                up.seen[key] = up.seen.get(key, 0) + 1
+                nth = f"[{up.seen[key]}]" if up.seen[key] > 1 else ""
+            path, place = f"{path}/{key}", f"{place}/{key}{nth}"
+        node = Node(tag, key, up.silent or bad, path, place)
         up.children.append(node)
         if (m[3] or m[6] or "").rstrip().endswith("/") and tag not in MAIN and tag in ("svg", "path", "iframe", "script"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            at = close.end() if close else end
-            continue
-        if deep and not (bad and not up.silent):  # its text counts as its parent's
+            ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
+            at = ending.end() if ending else end
             continue
         inside += tag in ("article", "main")
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(node)
     flush()
     return root, blocks
@@ -195,9 +224,12 @@ def constant(path: str, text: str) -> int:
 
 
 def every(node: Node) -> Iterator[Node]:
-    yield node
-    for c in node.children:
-        yield from every(c)
+    """A node and all below it, in page order."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack += n.children[::-1]
 
 
 def layout(tree: Node) -> int:
@@ -209,9 +241,9 @@ def layout(tree: Node) -> int:
     return constant("layout", "\n".join(sorted(paths)))
 
 
-def induce(pages: list[str]) -> tuple[str, list[int]]:
+def induce(pages: list[str], lists: bool = True) -> tuple[str, list[int]]:
     """The path of the content root ('' if none stands out) and the constant texts of pages of one layout."""
-    trees = [parse(p)[0] for p in pages]
+    trees = [parse(p, lists)[0] for p in pages]
     if len(trees) < 2:
         return "", []
     texts: dict[int, list[list[str]]] = {id(n): [n.texts] for n in every(trees[0])}
@@ -229,40 +261,41 @@ def induce(pages: list[str]) -> tuple[str, list[int]]:
             constants += [constant(n.path, t) for t in n.texts]
         elif n.texts and not n.silent:
             size = sum(len(x) for t in seen for x in t)
-            parts = n.path.split("/")
+            parts = n.place.split("/")
             for k in range(2, len(parts) + 1):
                 path = "/".join(parts[:k])
                 weight[path] = weight.get(path, 0) + size
     top = max(weight.values(), default=0)
-    root = max((p for p, w in weight.items() if w >= SHARE * top and p.rpartition("/")[2].split(".")[0] not in INLINE | {"p"}), key=lambda p: p.count("/"), default="")
+    root = max((p for p, w in weight.items() if w >= SHARE * top and re.split(r"[.\[]", p.rpartition("/")[2])[0] not in INLINE | {"p"}), key=lambda p: p.count("/"), default="")
     return root, constants
 
 
-def main_text(page: str | None, roots: str | Sequence[str] = "", constants: frozenset[int] = frozenset()) -> str:
-    blocks = [b for b in parse(page)[1] if not b[2]]
+def main_text(page: str | None, roots: str | Sequence[str] = "", constants: frozenset[int] = frozenset(), lists: bool = True) -> str:
     inside = tuple(f"{r}/" for r in ([roots] if isinstance(roots, str) else roots) if r)
-    return " ".join(t for p, t, _ in blocks if f"{p}/".startswith(inside) or not constants or constant(p, t) not in constants)
+    return " ".join(t for n, t in parse(page, lists)[1] if not n.silent and (f"{n.place}/".startswith(inside) or not constants or constant(n.path, t) not in constants))
 
 
 def host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
-def texts_seen(pages: DataFrame) -> DataFrame:
+def texts_seen(pages: DataFrame, lists: bool = True) -> DataFrame:
     """host, layout (null: all), item, path, n, size, several: on how many pages of the host or layout each text is at its
-    path, its summed length, and whether on different pages.  Rows without a path count the pages."""
+    path, its place (of several the first), its summed length, and whether on different pages.  Rows without a path count
+    the pages."""
     rows = pages.where("html IS NOT NULL").select(host().alias("host"), F.xxhash64("html").alias("h"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for at, h, page in zip(b.column("host").to_pylist(), b.column("h").to_pylist(), b.column("html"), strict=True):
-                tree, blocks = parse(page.as_py())
-                sizes: dict[tuple[str, str], int] = {}
-                for path, text, silent in blocks:
-                    if not silent:
-                        sizes[path, text] = sizes.get((path, text), 0) + len(text)
-                items = [(0, None, 0), *((constant(p, t), p, size) for (p, t), size in sizes.items())]
+                tree, blocks = parse(page.as_py(), lists)
+                sizes: dict[tuple[str, str], tuple[str, int]] = {}
+                for n, text in blocks:
+                    if not n.silent:
+                        place, size = sizes.get((n.path, text), (n.place, 0))
+                        sizes[n.path, text] = place, size + len(text)
+                items = [(0, None, 0), *((constant(p, t), place, size) for (p, t), (place, size) in sizes.items())]
                 for scope in (None, layout(tree)):
                     for item, path, size in items:
                         for col, x in zip(out, (at, scope, item, path, size, h), strict=True):
@@ -271,12 +304,12 @@ def texts_seen(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "layout", "item", "path", "size", "h"])
 
     seen = map_batches(rows, run, "host string, layout long, item long, path string, size long, h long")
-    return seen.groupBy("host", "layout", "item", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size"), (F.min("h") < F.max("h")).alias("several"))
+    return seen.groupBy("host", "layout", "item").agg(F.min("path").alias("path"), F.count("*").alias("n"), F.sum("size").alias("size"), (F.min("h") < F.max("h")).alias("several"))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def wrappers(pages: DataFrame, lists: bool = True) -> DataFrame:
     """host, roots, constants: what all pages of a host teach; hosts that teach nothing have no row."""
-    seen = stored(texts_seen(pages))
+    seen = stored(texts_seen(pages, lists))
     key = ["host", "layout"]
     same = lambda a, b: (F.col(f"{a}.host") == F.col(f"{b}.host")) & F.col(f"{a}.layout").eqNullSafe(F.col(f"{b}.layout"))
     totals = seen.where("path IS NULL AND several").select(*key, F.col("n").alias("pages"))
@@ -292,15 +325,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
     depths = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(F.array().cast("array<int>"))
     weights = varying.select(*key, "size", F.explode(F.transform(depths, lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).groupBy(*key, "path").agg(F.sum("size").alias("w"))
     tops = varying.groupBy(*key).agg(F.sum("size").alias("top"))
-    tag = F.regexp_extract("path", r"/([^/.]*)[^/]*$", 1)
+    tag = F.regexp_extract("path", r"/([^/.\[]*)[^/]*$", 1)
     heavy = weights.alias("w").join(near(tops).alias("t"), same("w", "t")).where(F.col("w") >= F.lit(SHARE) * F.col("top")).where(~tag.isin(*INLINE, "p"))
     roots = heavy.groupBy("w.host", "w.layout").agg(F.max_by("path", F.size(parts)).alias("root")).groupBy("host").agg(F.collect_set("root").alias("roots"))
     return fixed.groupBy("host").agg(F.collect_list("item").alias("constants")).join(roots, "host", "full")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page."""
-    learned = stored(wrappers(pages))
+def extract(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """page_id, url, text of every page.  Without ``lists`` the names of elements and classes count for nothing, and only
+    what the host's pages have in common and where they vary decides."""
+    learned = stored(wrappers(pages, lists))
     base = pages.select("page_id", "url", "html", host().alias("_host"))
     out = "page_id long, url string, text string"
     size = learned.agg(F.sum(F.lit(1) + F.greatest(F.size("constants"), F.lit(0)))).first()[0] or 0
@@ -310,14 +344,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                text = [main_text(t.as_py(), *sent.value.get(h, ("", frozenset()))) for h, t in zip(b.column("_host").to_pylist(), b.column("html"), strict=True)]
+                text = [main_text(t.as_py(), *sent.value.get(h, ("", frozenset())), lists) for h, t in zip(b.column("_host").to_pylist(), b.column("html"), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
         return map_batches(base, run, out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(t.as_py(), r or (), frozenset(c or ())) for t, r, c in zip(b.column("html"), b.column("roots").to_pylist(), b.column("constants").to_pylist(), strict=True)]
+            text = [main_text(t.as_py(), r or (), frozenset(c or ()), lists) for t, r, c in zip(b.column("html"), b.column("roots").to_pylist(), b.column("constants").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     return map_batches(base.join(learned.withColumnRenamed("host", "_host"), "_host", "left"), joined, out)
