@@ -86,6 +86,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert all(texts[i] == secrets.redact(rows[i]) for i in ids)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    got = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(got.fetchall(), key=repr)
+
+
 # 1
 def segmentations(s, text):
     out = [((), 0.0)]
@@ -132,6 +146,14 @@ def test_samples_do_not_depend_on_the_batch():
     for k, t in enumerate(texts):
         [alone] = s.sample([k + 1], [t], 3)
         assert [tuple(x[2].tolist()) for x in alone] == [tuple(x[2].tolist()) for x in together[k]]
+        assert all(s.joined(x[2]) == t == sentencepiece_sampling.decode([x[2].tolist()])[0] for x in alone)
+
+
+def test_sampling_keeps_nothing_of_drawn_segmentations():
+    s = sentencepiece_sampling.Sampler(sentencepiece_sampling.MODEL)
+    for k in range(5):
+        s.sample([k], [LONG[:20_000]], 3)
+        assert s.n.n == len(s.known) == s.log_p.n and s.ids.n < 200
 
 
 # 2
@@ -145,6 +167,36 @@ def test_fingerprint_is_a_homomorphism(spark):
     assert a == b == c == d != e
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 40])
+def test_every_row_has_its_follower(spark, buckets):
+    rng = np.random.default_rng(buckets)
+    ids = [None] * 60 + [5] * 70 + [9] * 3 + sorted(set(rng.integers(-500, 500, 80).tolist()))  # hot null, hot id
+    rows = [(i, f"t{rng.integers(0, 40)}") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text, r.next) for r in fp.with_next(df, F.col("text"), buckets).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    assert got == collections.Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+
+
+def test_hot_ids_are_dealt_to_several_buckets(spark):
+    b = fp.Buckets([1, 4, 4, 4, 4, 9], 3)
+    df = spark.range(2000).select(F.expr("case when id % 4 = 0 then null when id % 4 = 1 then 4 else id end").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(fp.HASH)).alias("h")).withColumn("b", b.column())
+    seen = {r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.countDistinct("b").alias("n")).where("n > 1").collect()}
+    assert seen == {None: 3, 4: 4}
+    bounds = df.groupBy("b").agg(F.min(F.struct("doc_id", "h")).alias("lo"), F.max(F.struct("doc_id", "h")).alias("hi")).orderBy("b").collect()
+    key = lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["h"])
+    assert all(key(x.hi) < key(y.lo) for x, y in zip(bounds, bounds[1:], strict=False))
+
+
+def test_fingerprint_lanes_hold_any_text(spark):
+    n = (1 << 19) + 3  # sentences
+    df = spark.createDataFrame([(1,), (2,)], "doc_id long").selectExpr("doc_id", f"repeat(if(doc_id = 1, 'ab. ', 'cd. '), {n}) as text")
+    a, b = df.select(F.expr(fp.parts("text")).alias("f")).withColumn("f", F.struct("f.w", "f.n", "f.s")).collect()
+    assert a.f.n == b.f.n == n
+    both = df.agg(F.expr("collect_list(text)").alias("x")).select(F.expr(fp.parts("x[0]")).alias("a"), F.expr(fp.parts("x[1]")).alias("b")).select(F.expr(fp.likeness("a", "a")).alias("same"), F.expr(fp.likeness("a", "b")).alias("other")).first()
+    assert both.same == 1.0 and 0 <= both.other < 0.5
+
+
 # 3
 def test_search_equals_scoring_everything(spark):
     rng = np.random.default_rng(3)
@@ -207,6 +259,15 @@ def test_pii_equals_brute_force(spark):
         assert [x.split(":")[0] for x in added] == {11: ["iban", "iban"], 12: ["ssn"]}.get(r.doc_id, [])
 
 
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    text = "".join(f"é u{k}@a.bc 1.2.3.{k % 300} " for k in range(n))
+    [r] = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_email == n and r.base_sha256 == hashlib.sha256(brute_pii(text).encode()).hexdigest()
+    found = secrets.spans("".join(f"token=abcdef{k} x9Kq2LmZ7vTr4WpY8sNb3HdF6gJc{k}ü " for k in range(n)))
+    assert len(found) == 2 * n
+
+
 # 5
 def test_language_models_are_distributions_and_predict(spark):
     models = lid.kneser_ney({"a": (np.array([0x6100620063 << 16 | 0x64, 0x61], np.uint64), np.array([3, 2])), "b": (np.array([0x61], np.uint64), np.array([1]))})
@@ -301,6 +362,43 @@ def test_secrets_inside_longer_runs():
         assert found(clean) == []
 
 
+@pytest.mark.parametrize("alphabet, least", [("ab62", 1.0), ("b64+/", 1.0), ("b64-_", 1.0), ("a0", 0.98), ("A0", 0.98), ("A", 0.98), ("a", 0.85), ("F0", 0.95)])
+def test_random_strings_of_every_alphabet_are_found(alphabet, least):
+    import random
+    import string
+
+    low, up, num = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    chars = {"ab62": low + up + num, "b64+/": low + up + num + "+/", "b64-_": low + up + num + "-_", "a0": low + num, "A0": up + num, "A": up, "a": low, "F0": "ABCDEF" + num}[alphabet]
+    rng, hits, n = random.Random(7), 0, 0
+    for size in (24, 28, 44, 72):
+        for _ in range(100):
+            key = "".join(rng.choice(chars) for _ in range(size))
+            hits += sum(b - a for k, a, b in secrets.spans(f"see {key} here")) >= 0.8 * size
+            n += 1
+    assert hits / n >= least
+
+
+def brute_secrets(t):
+    """Base spans by the contract's patterns, and every run that they leave, tested by itself and by its pieces."""
+    out = [("assign", m.span()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    out += [("access", m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    taken = {i for _, (a, b) in out for i in range(a, b)}
+    left = "".join(" " if i in taken else c for i, c in enumerate(t))
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", left):
+        if secrets.opaque(m[0], secrets.VOCABULARY) or any(secrets.opaque(p, secrets.VOCABULARY) for p in re.findall("[A-Za-z0-9]{20,}", m[0])):
+            out.append(("opaque", m.span()))
+    return sorted(out, key=lambda x: (x[1][0], secrets.KINDS.index(x[0])))
+
+
+def test_secrets_of_a_table_equal_brute_force(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        for r in queries.op7_secrets(spark, sf).collect():
+            want = brute_secrets(texts[r.doc_id])
+            assert r.spans == ",".join(f"{k}:{a}:{b}" for k, (a, b) in want) and r.n_opaque == sum(k == "opaque" for k, _ in want)
+
+
 # 8
 def simhash(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
@@ -404,19 +502,113 @@ def test_wrapper_learns_from_all_pages(spark, monkeypatch, broadcast):
     assert got == want | {300: "All the same", 301: "All the same", 400: "Alone"}
 
 
+def test_deep_nesting_and_names_that_only_look_like_furniture():
+    deep = "<div>" * 400 + "MENU" + "</div>" * 400
+    assert wi.main_text(f'<body><aside><p>a</p>{deep}<p>b</p></aside><article>main {deep} end</article><footer>f</footer></body>') == "main MENU end"
+    assert wi.main_text("<div>" * 20_000 + "x" + "</span></div>" * 20_000 + "y") == "x y"
+    page = '<article><h1>Euler</h1><p><math><mi>e</mi><mo>=</mo></math> holds</p><p class="notice-period">Two weeks</p><div class="form-factor">Small</div><p class="ad-hoc">ok</p><div class="cookie-notice">no</div><div class="siteFooter">no</div><div class="comment-list post-comments">no</div><div id="related-links">no</div></article>'
+    assert wi.main_text(page) == "Euler e= holds Two weeks Small ok"
+
+
+def test_the_wrapper_decides_without_any_names(spark):
+    menu = "".join(f'<li><a href="/{k}">Topic {k}</a></li>' for k in range(6))
+    layouts = [  # text beside the content that no name gives away
+        lambda k: f'<body><div class="x1"><ul>{menu}</ul></div><div class="x2"><div class="x3"><h1>Title {k}</h1><p>First {k} of it.</p><p>Second {k}.</p></div></div><div class="x4"><p>Our offices are closed.</p><p>Write to us.</p></div></body>',
+        lambda k: f'<body><table><tr><td><p>Menu one</p><p>Menu two</p></td><td><h2>Head {k}</h2><p>Words {k}</p><p>Always the same here.</p></td></tr></table><p>All rights kept</p></body>',
+    ]
+    want = [lambda k: f"Title {k} First {k} of it. Second {k}.", lambda k: f"Head {k} Words {k} Always the same here."]
+    rows = [(100 * j + k, f"http://h{j}.b/{k}", page(k)) for j, page in enumerate(layouts) for k in range(8)]
+    got = {r.page_id: r.text for r in wi.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), lists=False).collect()}
+    for j in range(2):
+        withheld = wi.main_text(layouts[j](3), lists=False)
+        assert got[100 * j + 3] != withheld  # without the wrapper the furniture stays
+        assert [got[100 * j + k] for k in range(8)] == [want[j](k) for k in range(8)]
+
+
 # 10
 def test_repeated_passages(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
     text = lambda n: " ".join(word() for _ in range(n))
-    shared, para = text(55), text(120)
+    shared, para, short = text(55), text(120), text(45)
     near = para.split()
     near[60] = "changed"
-    rows = [(1, text(90) + " " + shared + " " + text(80)), (2, text(40) + " " + shared + " " + text(70)), (3, text(30) + "\n" + para), (4, " ".join(near) + "\n" + text(30)), (5, text(200)), (6, "short line\n" + text(60)), (7, "short line\n" + text(60)), (8, shared), (None, shared)]
-    got = {r.doc_id: r for r in pm.by_document(pm.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got.keys() == {1, 2, 3, 4, 8, None}
-    assert got[3].class_id == got[4].class_id == 3 and got[4].removed != "" and got[3].removed == ""
-    assert pm.by_document(pm.repeated_passages(spark.createDataFrame(rows[4:5], "doc_id long, text string"))).count() == 0
+    inline = shared.split()
+    inline[30] = "other"
+    dense = text(200).split()
+    often = [w if k % 12 else "edited" for k, w in enumerate(dense)]
+    rows = [
+        (1, text(90) + " " + shared + " " + text(80)), (2, text(40) + " " + shared + "\n" + text(70)), (3, text(30) + "\n" + para), (4, " ".join(near) + "\n" + text(30)), (5, text(200)), (6, "short line\n" + text(60)), (7, "short line\n" + text(60)),
+        (8, shared), (None, shared), (9, text(60) + " " + " ".join(inline) + " " + text(9)), (10, short + " " + text(60)), (11, text(60) + " " + short), (12, " ".join(dense)), (13, " ".join(often)), (None, text(99)), (2, text(99)), (14, shared.replace(" ", "\n  ")),
+    ]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    got = {(r.doc_id, r.repeated_chars): r for r in pm.by_document(docs).collect()}
+    by = {i: r for (i, _), r in got.items()}
+    assert by.keys() == {1, 2, 3, 4, 8, 9, 14, None} and len(got) == 8
+    at = lambda i, t: t[int(by[i].spans.split(":")[0]) : int(by[i].spans.split(":")[1])]
+    assert at(1, rows[0][1]) == at(2, rows[1][1]) == at(8, shared) == at(None, shared) == shared and at(9, rows[9][1]) == " ".join(inline)  # whole passages, to both ends
+    assert {by[i].class_id for i in (1, 2, 8, 9, 14, None)} == {1} and by[3].class_id == by[4].class_id == 3
+    assert by[None].removed == f"0:{len(shared)}"  # the copy with the known id stays, or goes as its passage does
+    assert sum(by[i].removed == "" for i in (1, 2, 8, 9, 14)) == 1 == sum(by[i].removed == "" for i in (3, 4))
+    assert pm.by_document(docs.where("doc_id in (5, 6, 7)")).count() == 0
+    assert {r.doc_id for r in pm.by_document(docs, 40).collect()} >= {10, 11}
+
+
+def brute_passages(texts, least=50):
+    """Number pairs of texts that share a run of ``least`` words or a paragraph of that many words with a similarity of 0.8."""
+    words = {i: t.lower().split() for i, t in texts.items()}
+    runs = {i: {tuple(w[k : k + least]) for k in range(len(w) - least + 1)} for i, w in words.items()}
+    paras = {i: [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for p in t.lower().split("\n") if len(w := p.split()) >= least] for i, t in texts.items()}
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    return {(i, j) for i in texts for j in texts if i < j and texts[i] != texts[j] and (runs[i] & runs[j] or any(near(x, y) for x in paras[i] for y in paras[j]))}
+
+
+def test_repeated_passages_of_a_table_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_passages(texts)
+    got = {r.doc_id: r for r in queries.op10_paragraph_minhash(spark, SF).collect()}
+    copies = {i for i in texts for j in texts if i != j and texts[i] == texts[j] and len(texts[i].split()) >= 50}
+    assert copies | {i for p in want for i in p} <= got.keys()
+    assert all(got[i].class_id == got[j].class_id for i, j in want)
+    for i, r in got.items():  # what is found besides are near copies inside paragraphs: long, and alike to 0.8
+        for s, e in (x.split(":") for x in r.spans.split(",")):
+            assert len(texts[i][int(s) : int(e)].split()) >= 50
+
+
+@pytest.mark.parametrize("shard", [3, 512])
+def test_verified_links_equal_brute_force(spark, shard):
+    rng = np.random.default_rng(shard)
+    sets, families = {}, 3
+    for f in range(families):  # dense families, in one component with strangers
+        base = rng.integers(0, 1 << 60, 60)
+        for _ in range(25):
+            s = base.copy()
+            at = rng.integers(0, 60, int(rng.integers(0, 9)))
+            s[at] = rng.integers(0, 1 << 60, len(at))
+            sets[len(sets) + 1] = sorted(set(s.tolist()))
+    for _ in range(10):
+        sets[len(sets) + 1] = sorted(set(rng.integers(0, 1 << 60, 60).tolist()))
+    df = pm.stored(spark.createDataFrame([(i, 1 if i % 2 else 2, s) for i, s in sets.items()], "digest long, root long, shingles array<long>"))
+    got = {r.node: r.root for r in components(pm.verified_links(df, shard)).collect()}
+    near = {(i, j) for i in sets for j in sets if i < j and i % 2 == j % 2 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert {i: got.get(i, i) for i in sets} == want
+
+
+def test_passages_of_long_repetitive_texts_stay_cheap():
+    import time
+
+    rng = np.random.default_rng(8)
+    line = rng.integers(0, 1 << 62, 30).astype(np.uint64)
+    a = np.concatenate([np.tile(line, 1500), rng.integers(0, 1 << 62, 500).astype(np.uint64)])
+    b = np.concatenate([rng.integers(0, 1 << 62, 500).astype(np.uint64), np.tile(line, 3)])
+    began = time.perf_counter()
+    got = pm.passages_of(a, b, np.arange(0, 44_000, 30), np.full(1467, 530))
+    assert time.perf_counter() - began < 5 and got and all((a[s:e] == b[f:t]).all() for s, e, f, t in got)
 
 
 def test_jaccard_links_equal_brute_force():

@@ -1,19 +1,27 @@
 """Substring dedup: passages that repeat across documents, found by paragraph MinHash banding.
 
-Units.  A paragraph is a line; every paragraph of at least ``MIN_WORDS`` words gets a MinHash signature of its
-five-word shingles, cut into ``BANDS`` bands of ``ROWS`` values.  A passage may also repeat inside longer, otherwise
-different paragraphs; so windows of ``WINDOW`` words that start at content-defined anchors (a word pair whose hash is
-the smallest within ``REACH`` words on either side) enter with one band, the hash of their whole shingle sequence.
-
-Tuning.  Two sets of similarity s collide with probability 1 - (1 - s**ROWS)**BANDS: with 20 bands of 5 values that is
-0.9996 at 0.8 and 0.47 at 0.5.  Equal paragraphs always meet: they are first collapsed to one digest.  Colliding
-digests are joined through their band key (each with the smallest digest of the key, not all pairs), components of
-these collisions bound what has to be compared, and inside them every two paragraphs are verified by their exact
-Jaccard similarity, in blocks of bounded size.  Verified links are clustered by components.
-
-Defined cases: a null text counts as empty and has no passage; rows with a null doc_id count as one document, the first
-of all, whose id is null in the result; repeated rows repeat, and count as one document as their id is the same;
-paragraphs under ``MIN_WORDS`` words are never removed; an empty table gives an empty result.
+What is found: passages of at least ``LEAST`` words that two different texts share, exactly or with a Jaccard similarity
+of their five-word shingles of ``JACCARD`` or more, and whole texts of so many words that several documents have.
+
+Paragraphs.  A paragraph is a line; each of at least ``LEAST`` words gets a MinHash signature of its five-word shingles,
+cut into ``BANDS`` bands of ``ROWS`` values.  Two sets of similarity s collide with probability 1 - (1 - s**ROWS)**BANDS:
+with 20 bands of 5 values that is 0.9996 at 0.8 and 0.47 at 0.5.  Equal paragraphs are first collapsed to one digest.
+Colliding digests are joined through their band key (each with the smallest digest of the key, not all pairs).  In every
+component of collisions each paragraph is compared, by exact Jaccard similarity, with ``HUBS`` members that a hash picks;
+only paragraphs that are not linked to the component's main cluster by that are compared with all others, in blocks of
+bounded size, so a group of near copies takes time in proportion to its size.  Verified links are clustered by components.
+
+Passages inside paragraphs, or over several.  Windows of ``WINDOW`` words that start at content-defined anchors (a word
+pair whose hash is the smallest within ``REACH`` words on either side) are hashed.  Every text that shares a window with
+others is paired with two of them, those with the smallest and the largest number of the window; a pair's shared windows
+are grown word by word in both texts to maximal runs, runs with small gaps between them are chained, and a chain is a
+passage where it is long enough and its similarity, counted from its runs, reaches ``JACCARD``.
+
+A text's number is a hash of it, so equal texts are one; results come back to documents at the end.
+
+Defined cases: a null text counts as empty and has no passage; every different text of a null or repeated doc_id is a
+document of its own; repeated rows count once; passages under ``LEAST`` words are never removed; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,16 +31,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks_in_order, codepoints, components, drop_stored, local_components, map_batches, mix64, partitions, shingle_hashes, stored, triangle_blocks
+from .common import WordHash, blocks_in_order, codepoints, components, drop_stored, local_components, loose, map_batches, mix64, partitions, shingle_hashes, stored
 
-MIN_WORDS, WINDOW, REACH = 25, 20, 4
-UNKNOWN = -(1 << 63)  # stands for a null doc_id while grouping
-BANDS, ROWS, JACCARD = 20, 5, 0.8
+LEAST, WINDOW, REACH, RUN, GAP = 50, 14, 4, 5, 25
+BANDS, ROWS, JACCARD, HUBS = 20, 5, 0.8, 4
 PASSES = 2  # the bands move in so many turns, each freeing its shuffle files, to bound the disk
 SHARD, PIECE = 512, 1 << 17
+PARAGRAPH, SEED, WHOLE = 0, 1, 2  # kinds of units
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(1, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -88,11 +96,11 @@ def band_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (mix64(out + np.arange(BANDS, dtype=np.uint64)[:, None])).T.view(np.int64)
 
 
-def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, end, digest and first shingle of each paragraph of at least MIN_WORDS words, and all their shingles."""
+def paragraphs(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end, digest and first shingle of each paragraph of at least ``least`` words, and all their shingles."""
     first = np.flatnonzero(np.diff(w.line, prepend=-1))
     last = np.append(first[1:], len(w.line))[: len(first)]
-    long = last - first >= MIN_WORDS
+    long = last - first >= max(5, least)
     first, last = first[long], last[long]
     none = np.zeros(0, np.int64)
     if not len(first):
@@ -105,10 +113,10 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return first, last, digest, at, every
 
 
-def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each anchored window of WINDOW words, of the texts of at least MIN_WORDS words."""
+def windows(w: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each anchored window of WINDOW words, of the texts of at least ``least`` words."""
     n = len(w.hashes)
-    if n < MIN_WORDS:
+    if n < max(WINDOW, least):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pair = mix64(w.hashes[:-1] * np.uint64(3) + w.hashes[1:])
     same = np.flatnonzero(w.text[:-1] == w.text[1:])
@@ -120,7 +128,7 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(low, padded[k : len(low) + k], out=low)
     at = same[low[spot - REACH] == pair[same]]
     size = np.diff(w.stop, prepend=0)
-    at = at[(at + WINDOW <= w.stop[w.text[at]]) & (size[w.text[at]] >= MIN_WORDS)]
+    at = at[(at + WINDOW <= w.stop[w.text[at]]) & (size[w.text[at]] >= least)]
     powers = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
     mixed, total = mix64(w.hashes), np.zeros(len(at), np.uint64)
     for k in range(WINDOW):
@@ -128,57 +136,68 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, mix64(total).view(np.int64)
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, start, length (code points), kind (0 paragraph, 1 window), digest, bands of every unit.
+def number() -> Column:
+    """The number of a text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-    Bands are null for windows and where the task gave an equal paragraph's bands before.
+
+def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """tid (the text's number), start, length (code points; 0 for windows), kind, digest, bands of every unit.
+
+    Texts of ``least`` or more words have a unit WHOLE from their first to their last word.  Bands are null for all but
+    paragraphs, and where the task gave an equal paragraph's bands before.
     """
-    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.int8()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    fields = pa.schema([("tid", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.int8()), ("digest", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, given = WordHash(), set()
         for b in batches:
             for begin, texts in pieces(b.column("text")):
                 w = Words(texts, known)
-                first, last, digest, own, every = paragraphs(w)
-                at, hashes = windows(w)
-                begins, stops = w.starts[np.concatenate([first, at])], w.ends[np.concatenate([last, at + WINDOW]) - 1]
-                kind = np.repeat(np.array([0, 1], np.int8), [len(first), len(at)])
+                first, last, digest, own, every = paragraphs(w, least)
+                at, hashes = windows(w, least)
+                stop = w.stop
+                head = np.append(0, stop[:-1])
+                whole = np.flatnonzero(stop - head >= max(1, least))
+                text = np.concatenate([w.text[first], w.text[at], whole])
+                start = np.concatenate([w.starts[first], w.starts[at], w.starts[head[whole]]])
+                end = np.concatenate([w.ends[last - 1], w.starts[at], w.ends[stop[whole] - 1]])
+                kind = np.repeat(np.array([PARAGRAPH, SEED, WHOLE], np.int8), [len(first), len(at), len(whole)])
                 if len(given) > known.limit:
                     given.clear()
                 fresh = np.array([not (d in given or given.add(d)) for d in digest.tolist()], bool)
                 size = np.diff(np.append(own, len(every)))
                 bands = band_hashes(every[np.repeat(fresh, size)], np.cumsum(size[fresh]) - size[fresh])
-                holds = np.append(fresh, np.zeros(len(at), bool))
+                holds = np.append(fresh, np.zeros(len(at) + len(whole), bool))
                 offsets = pa.array((np.cumsum(np.append(0, holds)) * BANDS).astype(np.int32), mask=np.append(~holds, False))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").take(pa.array(begin + w.text[np.concatenate([first, at])])),
-                        pa.array(begins.astype(np.int32)),
-                        pa.array((stops - begins).astype(np.int32)),
+                        b.column("tid").take(pa.array(begin + text)),
+                        pa.array(start.astype(np.int32)),
+                        pa.array((end - start).astype(np.int32)),
                         pa.array(kind),
-                        pa.array(np.concatenate([digest, hashes])),
+                        pa.array(np.concatenate([digest, hashes, np.zeros(len(whole), np.int64)])),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))),
                     ],
                     schema=fields,
                 )
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start int, length int, kind byte, digest long, bands array<long>")
+    return map_batches(docs.select(number().alias("tid"), "text"), run, "tid long, start int, length int, kind byte, digest long, bands array<long>")
 
 
-def shingles_of(docs: DataFrame) -> DataFrame:
+def shingles_of(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """digest and distinct shingle hashes of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            for _, texts in pieces(b.column("text")):
-                _, _, digest, at, every = paragraphs(Words(texts, known))
+            for _, part in pieces(b.column("text")):
+                _, _, digest, at, every = paragraphs(Words(part, known), least)
                 sets = [np.unique(x).view(np.int64) for x in np.split(every, at[1:])] if len(at) else []
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["digest", "shingles"])
 
-    return map_batches(docs.select("text"), run, "digest long, shingles array<long>")
+    return map_batches(texts.select("text"), run, "digest long, shingles array<long>")
 
 
 def jaccard_links(sets: list[np.ndarray], side: np.ndarray, diagonal: bool, least: float = JACCARD) -> tuple[np.ndarray, np.ndarray]:
@@ -203,29 +222,66 @@ def jaccard_links(sets: list[np.ndarray], side: np.ndarray, diagonal: bool, leas
     return np.concatenate(a), np.concatenate(b)
 
 
-def verified_links(collided: DataFrame, sets: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) between digests: a spanning forest of the exactly verified links in each block.
+def against_hubs(members: DataFrame) -> DataFrame:
+    """digest, root, hub, mask, near: which of its component's hubs each member (digest, root, shingles) is linked with.
 
-    ``collided`` has the root (component of band collisions) of each digest, ``sets`` the shingles of each digest; blocks
-    are dealt before the shingles join, which then move once more, to their blocks.
+    ``near`` are the hubs' digests, ``mask`` a bit for each; ``hub`` marks the hubs themselves.
+    """
+    picks = members.groupBy("root").agg(F.array_distinct(F.array(*[F.min_by("digest", F.xxhash64("digest", F.lit(k))) for k in range(HUBS)])).alias("hubs"))
+    chosen = picks.select("root", F.explode("hubs").alias("digest"))
+    sets = members.select("digest", "shingles").join(loose(chosen, "root", "digest"), "digest")
+    hubs = sets.groupBy("root").agg(F.collect_list(F.struct("digest", "shingles")).alias("hubs"))  # HUBS at most
+    rows = members.join(loose(hubs, "root"), "root")
+    hits = f"""transform(hubs, h -> transform(array(size(array_intersect(shingles, h.shingles))), i ->
+        if(i >= {JACCARD}D * (size(shingles) + size(h.shingles) - i) - 1e-9D, h.digest, null))[0])"""
+    rows = rows.select("digest", "root", F.exists("hubs", lambda h: h["digest"] == F.col("digest")).alias("hub"), F.expr(hits).alias("hits"))
+    mask = "aggregate(transform(hits, (x, k) -> if(x is null, 0, shiftleft(1, k))), 0, (a, x) -> a | x)"
+    return rows.select("digest", "root", "hub", F.expr(mask).alias("mask"), F.filter("hits", lambda x: x.isNotNull()).alias("near"))
+
+
+def apart(seen: DataFrame) -> DataFrame:
+    """root, reach, few, many: of components where members remain to be compared with each other.
+
+    ``reach`` marks the hubs of the main cluster: those that the hub with most links is connected with through members.
+    ``few`` members are linked to none of these, ``many`` are no hubs.  What is a hub has been compared with everything.
     """
-    sizes = collided.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = triangle_blocks(collided.join(sizes, "root"), "root", "digest", "n", shard)
-    blocks = blocks.select("block", "side", F.col("_diagonal").alias("diagonal"), "digest").join(sets, "digest")
-    blocks = blocks.select("block", "side", "diagonal", "digest", "shingles").repartition(partitions(collided.sparkSession), "block").sortWithinPartitions("block")
+    each = [F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 for k in range(HUBS)]
+    per = seen.groupBy("root").agg(*(F.count_if(e).alias(f"c{k}") for k, e in enumerate(each)), *(F.bit_or(F.when(e, F.col("mask")).otherwise(0)).alias(f"m{k}") for k, e in enumerate(each)))
+    most = F.greatest(*(F.struct(F.col(f"c{k}").alias("c"), F.lit(1 << k).alias("bit"), F.lit(k).alias("k")) for k in range(HUBS)))
+    masks = "array(" + ", ".join(f"m{k}" for k in range(HUBS)) + ")"
+    step = f"aggregate(transform({masks}, (m, k) -> if(acc & shiftleft(1, k) <> 0, m, 0)), acc, (a, x) -> a | x)"
+    main = per.select("root", most["bit"].alias("bit"), *(f"m{k}" for k in range(HUBS))).select("root", F.expr(f"aggregate(sequence(1, {HUBS}), bit, (acc, i) -> {step})").alias("reach"))
+    rows = seen.where("NOT hub").join(loose(main, "root"), "root")
+    counts = rows.groupBy("root", "reach").agg(F.count_if(F.col("mask").bitwiseAND(F.col("reach")) == 0).alias("few"), F.count("*").alias("many"))
+    return counts.where("few > 0 AND many > 1")
+
+
+def remaining_links(members: DataFrame, seen: DataFrame, left: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b) that link members outside their component's main cluster with any others, from exact comparison.
+
+    The ``few`` are dealt to shards and so are the ``many``; each two shards meet in a block.
+    """
+    rows = seen.where("NOT hub").select("digest", "root", "mask").join(loose(left, "root"), "root")
+    shards = {c: F.ceil(F.col(c) / F.lit(shard)).cast("int") for c in ("few", "many")}
+    own = {c: F.pmod(F.xxhash64("digest", F.lit(7)), n).cast("int") for c, n in shards.items()}
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    outside = rows.where(F.col("mask").bitwiseAND(F.col("reach")) == 0)
+    a = outside.select("digest", "root", F.lit(0).alias("side"), own["few"].alias("i"), F.explode(span(shards["many"])).alias("j"))
+    b = rows.select("digest", "root", F.lit(1).alias("side"), F.explode(span(shards["few"])).alias("i"), own["many"].alias("j"))
+    blocks = a.unionByName(b).select(F.xxhash64("root", "i", "j").alias("block"), "side", "digest").join(members.select("digest", "shingles"), "digest")
+    blocks = blocks.select("block", "side", "digest", "shingles").repartition(partitions(members.sparkSession), "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks_in_order(batches, rows=2000):
-            block, digest, side, diagonal = t["block"].to_numpy(), t["digest"].to_numpy(), t["side"].to_numpy(), t["diagonal"].to_numpy(zero_copy_only=False)
+            block, digest, side = t["block"].to_numpy(), t["digest"].to_numpy(), t["side"].to_numpy()
             lists = t["shingles"].combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
             cut = np.append(np.flatnonzero(np.diff(block, prepend=block[0] + 1)), len(block))
             out_a, out_b = [], []
             for k, e in zip(cut[:-1], cut[1:], strict=True):
-                sets = [values[offsets[i] : offsets[i + 1]] for i in range(k, e)]
-                a, b = jaccard_links(sets, side[k:e], bool(diagonal[k]))
-                labels = local_components(e - k, a, b)
+                x, y = jaccard_links([values[offsets[i] : offsets[i + 1]] for i in range(k, e)], side[k:e], False)
+                labels = local_components(e - k, x, y)
                 moved = np.flatnonzero(labels != np.arange(e - k))
                 out_a.append(digest[k:e][moved])
                 out_b.append(digest[k:e][labels[moved]])
@@ -234,6 +290,14 @@ def verified_links(collided: DataFrame, sets: DataFrame, shard: int = SHARD) ->
     return map_batches(blocks, run, "a long, b long")
 
 
+def verified_links(members: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b) between members (digest, root, shingles; stored) that connect all that are linked within a component."""
+    seen = stored(against_hubs(members))
+    left = stored(apart(seen))
+    to_hubs = seen.select(F.col("digest").alias("a"), F.explode("near").alias("b")).where("a <> b")
+    return to_hubs.unionByName(remaining_links(members, seen, left, shard))
+
+
 def collisions(every: DataFrame) -> list[DataFrame]:
     """Edges (a, b) from each digest to the smallest one of each of its band keys: a stored table for every turn of bands."""
     found, width = [], BANDS // PASSES
@@ -242,59 +306,188 @@ def collisions(every: DataFrame) -> list[DataFrame]:
         paras = every.where("bands IS NOT NULL").select("digest", some.alias("bands")).groupBy("digest").agg(F.first("bands").alias("bands"))
         keys = paras.select("digest", F.explode("bands").alias("key"))
         met = keys.groupBy("key").agg(F.min("digest").alias("b"))  # a key of one digest joins with itself only
-        found.append(stored(keys.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b")))
+        found.append(stored(keys.join(loose(met, "key"), "key").where("digest <> b").select(F.col("digest").alias("a"), "b")))
     return found
 
 
-def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All units of ``docs`` (stored), and the cluster of every digest that another one is linked with (digest, root)."""
-    every = stored(units(docs))
-    found = collisions(every)
-    collided = components(reduce(DataFrame.unionByName, found))
-    collided = stored(collided.select(F.col("node").alias("digest"), "root"))
-    for edges in found:
-        drop_stored(edges)
-    holders = every.where("kind = 0").select("digest", "doc_id").join(collided.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    known = docs.join(holders.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    source = known.select("text").unionByName(docs.where("doc_id IS NULL").select("text"))
-    sets = shingles_of(source).groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    linked = components(verified_links(collided, sets))
-    return every, linked.select(F.col("node").alias("digest"), "root")
+def seed_pairs(every: DataFrame) -> DataFrame:
+    """d, h, seeds: texts that share windows, each with the first and the last text of a window (by number), and where.
+
+    A seed is the window's start in d and in h, 32 bits each.
+    """
+    seeds = every.where(F.col("kind") == SEED).select("digest", "tid", "start")
+    place = F.struct("tid", "start")
+    ends = seeds.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.tid <> hi.tid")
+    ends = ends.select("digest", F.col("lo.tid").alias("lt"), F.col("lo.start").alias("ls"), F.col("hi.tid").alias("ht"), F.col("hi.start").alias("hs"))
+    rows = seeds.join(loose(ends, "digest"), "digest")
+    pair = lambda d, ds, h, hs: F.struct(d.alias("d"), h.alias("h"), F.shiftleft(ds.cast("long"), 32).bitwiseOR(hs.cast("long")).alias("seed"))
+    c = F.col
+    first = F.when(c("tid") != c("lt"), pair(c("tid"), c("start"), c("lt"), c("ls")))
+    last = F.when((c("tid") != c("ht")) & (c("tid") != c("lt")), pair(c("ht"), c("hs"), c("tid"), c("start")))
+    pairs = rows.select(F.explode(F.filter(F.array(first, last), lambda x: x.isNotNull())).alias("p")).select("p.*")
+    return pairs.groupBy("d", "h").agg(F.collect_set("seed").alias("seeds"))  # as many as a text has windows, at most
+
+
+def runs_of(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, diagonal) in ``a`` of the runs of RUN or more equal words on the diagonals of the seeds, near these."""
+    out = []
+    diagonals = pa_ - pb
+    for d in np.unique(diagonals).tolist():
+        low, high, covered = max(0, d), min(len(a), len(b) + d), -1
+        for p in np.sort(pa_[diagonals == d]).tolist():
+            if p < covered:
+                continue
+            reach = 256
+            while True:  # further, as long as words agree at the ends
+                lo, hi = max(low, covered, p - reach), min(high, p + reach)
+                same = a[lo:hi] == b[lo - d : hi - d]
+                if not (lo > max(low, covered) and same[:32].mean() > 0.5 or hi < high and same[-32:].mean() > 0.5):
+                    break
+                reach *= 4
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+            out += [(lo + x, lo + y, d) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if y - x >= RUN]
+            covered = hi
+    return sorted(out)
+
+
+def passages_of(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int]]:
+    """(start, end) in ``a`` and in ``b`` of the passages that two texts' words share around the seeds."""
+    chains: list[list[tuple[int, int, int, int]]] = []
+    for s, e, d in runs_of(a, b, pa_, pb):
+        if chains:
+            _, la, _, lb = chains[-1][-1]
+            over = max(0, la - s, lb - (s - d)) if s - la <= GAP and -GAP <= s - d - lb <= GAP else 0
+            if e - s - over >= RUN and s + over - la <= GAP and 0 <= s + over - d - lb <= GAP:
+                chains[-1].append((s + over, e, s + over - d, e - d))
+                continue
+            if e <= la and s >= chains[-1][0][0]:  # inside what is chained already
+                if e - s < least:
+                    continue
+        chains.append([(s, e, s - d, e - d)])
+    out = []
+    for chain in chains:
+        sa, ea, sb, eb = np.array(chain).T
+        common = np.append(0, np.cumsum(ea - sa - (RUN - 1)))
+        i = 0
+        while i < len(chain):
+            la, lb, both = ea[i:] - sa[i], eb[i:] - sb[i], common[i + 1 :] - common[i]
+            like = both / (la + lb - 2 * (RUN - 1) - both)
+            good = np.flatnonzero((like >= JACCARD - 1e-9) & (np.minimum(la, lb) >= least))
+            if len(good):
+                j = i + int(good[-1])
+                out.append((int(sa[i]), int(ea[j]), int(sb[i]), int(eb[j])))
+                i = j
+            i += 1
+    return out
+
+
+def shared_passages(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """d, h, start and end in d, from and to in h (code points) of every passage that a pair of texts (tid, text) shares."""
+    rows = pairs.join(texts.select(F.col("tid").alias("d"), F.col("text").alias("dt")), "d")
+    rows = rows.join(texts.select(F.col("tid").alias("h"), F.col("text").alias("ht")), "h").select("d", "h", "seeds", "dt", "ht")
+    names = ["d", "h", "start", "end", "from", "to"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, chars = WordHash(), {}, 0
+
+        def words(tid: int, text: str) -> Words:
+            nonlocal chars
+            if tid not in held:
+                if chars + len(text) > 4 * PIECE:
+                    held.clear()
+                    chars = 0
+                held[tid] = Words([text], known)
+                chars += len(text)
+            return held[tid]
+
+        for b in batches:
+            out: list[tuple] = []
+            for d, h, seeds, dt, ht in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("seeds"), b.column("dt"), b.column("ht"), strict=True):
+                x, y = words(h, ht.as_py()), words(d, dt.as_py())
+                seed = seeds.values.to_numpy()
+                pd, ph = np.searchsorted(y.starts, seed >> 32), np.searchsorted(x.starts, seed & 0xFFFFFFFF)
+                out += [(d, h, y.starts[s], y.ends[e - 1], x.starts[f], x.ends[t - 1]) for s, e, f, t in passages_of(y.hashes, x.hashes, pd, ph, least)]
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names)
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Units whose cluster spans several documents: doc_id, start, end, kind, cluster, first_doc_id (smallest of the cluster), keep.
+    return map_batches(rows, run, "d long, h long, start int, end int, from int, to int")
 
-    ``keep`` is true for the units of ``first_doc_id``; the others are the removals.
+
+def repeated_passages(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What different texts share: passages (tid, start, end, keep) and links (a, b) between the texts' numbers; and the
+    span of each whole text (tid, start, end).
+
+    ``keep`` is true in the text with the smallest number of those that share a passage; elsewhere it can be removed.
     """
-    every, linked = clusters(docs)
-    own = F.coalesce("doc_id", F.lit(UNKNOWN))
-    by_digest = every.groupBy("digest").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    shared = stored(by_digest.join(linked, "digest", "left").where("lo < hi OR root IS NOT NULL"))
-    spread = shared.where("root IS NOT NULL").groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    near = shared.select("digest", "root").join(spread, "root").select("digest", F.col("root").alias("cluster"), "lo")
-    exact = shared.where("root IS NULL").select("digest", F.col("digest").alias("cluster"), "lo")
-    place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("length").cast("long") * 2 + F.col("kind")  # one long moves, not three columns
-    rows = every.select("doc_id", place.alias("place"), "digest").join(near.unionByName(exact), "digest")
-    start, rest = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    end = (start + F.shiftright(rest, 1)).cast("int")
-    return rows.select("doc_id", start.alias("start"), end.alias("end"), (rest % 2).cast("byte").alias("kind"), "cluster", F.nullif("lo", F.lit(UNKNOWN)).alias("first_doc_id"), (own == F.col("lo")).alias("keep"))
-
-
-def by_document(passages: DataFrame) -> DataFrame:
-    """A row for each document with repeated passages.
-
-    ``spans`` and ``removed`` are merged start:end pairs (code points) of all repeated and of the removable passages;
-    ``first_doc_ids`` lists the smallest doc_id of each cluster that the document is in, itself included where it is
-    the first; ``class_id`` is the smallest of them.
+    every = stored(units(docs, least))
+    found = collisions(every)
+    collided = components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("digest"), "root")
+    collided = stored(collided)
+    for edges in found:
+        drop_stored(edges)
+    paras = every.where(F.col("kind") == PARAGRAPH).select("digest", "tid", "start", "length")
+    holders = stored(paras.join(loose(collided.select("digest"), "digest"), "digest", "left_semi").groupBy("digest").agg(F.min("tid").alias("tid")))
+    pairs = stored(seed_pairs(every))
+    wanted = holders.select("tid").union(pairs.select("d")).union(pairs.select("h")).distinct()
+    texts = docs.where("text IS NOT NULL").select(number().alias("tid"), "text").groupBy("tid").agg(F.first("text").alias("text"))
+    texts = stored(texts.join(loose(wanted, "tid"), "tid", "left_semi"))
+    sets = shingles_of(texts.join(loose(holders.select("tid").distinct(), "tid"), "tid", "left_semi"), least).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    members = stored(collided.join(loose(sets, "digest"), "digest"))
+    linked = stored(components(verified_links(members)).select(F.col("node").alias("digest"), "root"))
+    drop_stored(members)
+    grown = stored(shared_passages(pairs, texts, least))
+    drop_stored(texts)
+    drop_stored(pairs)
+
+    ends = paras.groupBy("digest").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
+    known = stored(ends.join(loose(linked, "digest"), "digest", "left").where("lo < hi OR root IS NOT NULL").select("digest", "lo", "hi", F.coalesce("root", "digest").alias("cluster")))
+    spread = known.groupBy("cluster").agg(F.min("lo").alias("first"), F.max("hi").alias("hi")).where("first < hi").select("cluster", "first")
+    of = known.select("digest", "cluster").join(loose(spread, "cluster"), "cluster").select("digest", "first")
+    lines = stored(paras.join(loose(of, "digest"), "digest").select("tid", "start", (F.col("start") + F.col("length")).alias("end"), "first"))
+    passages = lines.select("tid", "start", "end", (F.col("tid") == F.col("first")).alias("keep"))
+    passages = passages.unionByName(grown.select(F.col("d").alias("tid"), "start", "end", F.lit(False).alias("keep")))
+    passages = passages.unionByName(grown.select(F.col("h").alias("tid"), F.col("from").alias("start"), F.col("to").alias("end"), F.lit(True).alias("keep")))
+    links = lines.where("tid <> first").select(F.col("tid").alias("a"), F.col("first").alias("b")).unionByName(grown.select(F.col("d").alias("a"), F.col("h").alias("b"))).distinct()
+    whole = every.where(F.col("kind") == WHOLE).select("tid", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    return passages, links, whole
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """tid, spans (start:end, comma-joined, in order), chars: the unions of each text's spans (tid, start, end)."""
+    rows = spans.groupBy("tid", "start").agg(F.max("end").alias("end"))  # at most one for each place of a text
+    w = Window.partitionBy("tid").orderBy("start")
+    rows = rows.withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("n", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(w))
+    rows = rows.groupBy("tid", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = rows.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("chars"))
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return rows.select("tid", text.alias("spans"), "chars")
+
+
+def by_document(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """A row for each document (different text of a doc_id) that shares passages with others.
+
+    ``class_id`` is the smallest known doc_id that is reachable over shared passages, itself included; ``spans`` and
+    ``removed`` are start:end pairs (code points) of all repeated and of the removable passages.  Of documents with equal
+    texts the one with the smallest doc_id keeps what its text keeps, and from the others the whole text can go.
     """
-    span = F.struct("start", "end")
-    rows = passages.groupBy("doc_id").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(~F.col("keep"), span)).alias("cut"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"), F.min("first_doc_id").alias("class_id"))
-    merged = """aggregate(array_sort({c}), cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
-        case when size(acc) > 0 and x.start <= element_at(acc, -1).end
-             then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             else concat(acc, array(x)) end)"""
-    text = "array_join(transform({c}, s -> concat(s.start, ':', s.end)), ',')"
-    rows = rows.withColumn("all", F.expr(merged.format(c="all"))).withColumn("cut", F.expr(merged.format(c="cut")))
-    size = "aggregate({c}, 0L, (a, s) -> a + s.end - s.start)"
-    return rows.select("doc_id", "class_id", "first_doc_ids", F.expr(text.format(c="all")).alias("spans"), F.expr(text.format(c="cut")).alias("removed"), F.expr(size.format(c="all")).alias("repeated_chars"), F.expr(size.format(c="cut")).alias("removed_chars"))
+    passages, links, whole = repeated_passages(docs, least)
+    passages = stored(passages.distinct())
+    owners = docs.where("text IS NOT NULL").select("doc_id", number().alias("tid")).distinct()
+    owners = stored(owners)
+    counts = owners.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    copies = stored(counts.where("n > 1").join(loose(whole, "tid"), "tid"))  # texts of several documents
+    every = merged(passages.select("tid", "start", "end").unionByName(copies.select("tid", "start", "end")))
+    cut = merged(passages.where("NOT keep").select("tid", "start", "end")).select("tid", F.col("spans").alias("cut"), F.col("chars").alias("cut_chars"))
+    roots = components(links).select(F.col("node").alias("tid"), "root")
+    text = every.join(cut, "tid", "left").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    text = text.join(counts.select("tid", "least"), "tid").join(copies.select("tid", F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string")).alias("copy"), (F.col("end") - F.col("start")).cast("long").alias("copy_chars")), "tid", "left")
+    text = stored(text)
+    classes = text.groupBy("root").agg(F.min("least").alias("class_id"))
+    text = text.join(loose(classes, "root"), "root").drop("root")
+    rows = owners.join(loose(text, "tid"), "tid")
+    other = F.col("copy").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))
+    return rows.select(
+        "doc_id", "class_id", "spans", F.when(other, F.col("copy")).otherwise(F.coalesce("cut", F.lit(""))).alias("removed"),
+        F.col("chars").alias("repeated_chars"), F.when(other, F.col("copy_chars")).otherwise(F.coalesce("cut_chars", F.lit(0))).cast("long").alias("removed_chars"),
+    )
