@@ -295,6 +295,7 @@ def test_maintenance_drops_days_on_storage(spark, tmp_path):
     path = str(tmp_path / "log")
     old = [e | {"id": "old", "created_at": e["created_at"] - timedelta(days=20)} for e in events(1)]
     eventlog.append(frame(spark, [*old, *events(2)]), path)
+    assert [tuple(r) for r in maintenance.listed_partitions(spark, path).collect()] == [(r["name"], r["date"]) for r in maintenance.existing_partitions(eventlog.read(spark, path)).collect()]
     assert maintenance.run(spark, path, DAY).drop == ["events_20240224"] and eventlog.read(spark, path).count() == 2
 
 

@@ -158,10 +158,17 @@ def batches(events: DataFrame, max_size: int) -> Iterator[list[Row]]:
 def chunk_ids(events: DataFrame, max_size: int, by: str = "stream_id") -> DataFrame:
     """Events with ``chunk``, the number of their batch of ``max_size`` in the order of their stream and day.
 
-    Numbering is per day, so that no more than a day of a stream is ranked in one place.
+    Events are ranked within a minute only; what the minutes before it hold comes from their counts, so a large stream's
+    day is spread over many tasks.
     """
-    w = Window.partitionBy(by, F.to_date("created_at")).orderBy("created_at", "id")
-    return events.withColumn("chunk", F.ceil(F.row_number().over(w) / F.lit(max_size)).cast("bigint"))
+    day, minute = F.to_date("created_at"), F.date_trunc("minute", F.col("created_at"))
+    rows = events.withColumn("_day", day).withColumn("_minute", minute)
+    counts = rows.groupBy(by, "_day", "_minute").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by, "_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)  # 1,440 rows at most
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n", "_day")
+    rank = F.row_number().over(Window.partitionBy(by, "_minute").orderBy("created_at", "id"))
+    ranked = rows.join(before, [by, "_minute"]).withColumn("chunk", F.ceil((rank + F.col("_before")) / F.lit(max_size)).cast("bigint"))
+    return ranked.select(*events.columns, "chunk")
 
 
 def first_and_last(events: DataFrame, *by: str) -> DataFrame:

@@ -67,6 +67,11 @@ def list_days(spark: SparkSession, path: str) -> list[date]:
     return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith("event_date=") and len(n) == 21)
 
 
+def listed_partitions(spark: SparkSession, path: str, base: str = "events") -> DataFrame:
+    """name, date of the days of a log on storage, by name; its directories are listed, no event is read."""
+    return spark.createDataFrame([(partition_name(base, d), d) for d in list_days(spark, path)], "name string, date date")
+
+
 def run(spark: SparkSession, path: str, now: datetime, base: str = "events") -> Plan:
     """Drops the expired days of a log; days ahead need no creation, as a write makes its directory."""
     made = plan([partition_name(base, d) for d in list_days(spark, path)], now, base)
