@@ -11,8 +11,8 @@ block-max WAND search.  Items that share their commonest word are kept together,
 Every passage that retrieves an item is verified, the best score first, until one passes, in the words around it: the overlap of its question (all sentences but the
 last) and of its answer (the last sentence), in runs of five words, must reach ``OVERLAP``.
 
-Bound: an index shard has at most ``SHARD_ITEMS`` items and is broadcast; more items make more shards, and each is
-searched with one more pass over the texts.
+Bound: an index shard has about ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters at most and is broadcast; more items
+make more shards, dealt in turn, and each is searched with one more pass over the texts.
 
 Defined cases: null texts and null or wordless items match nothing; items that repeat are each reported; a null doc_id
 keeps its rows; an empty benchmark finds nothing.
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, stored
 
 PASSAGE, THRESHOLD, OVERLAP, RUN, SPREAD = 32, 0.6, 0.8, 5, 4
-BLOCK, SHARD_ITEMS, K1, B = 4, 20_000, 1.2, 0.75
+BLOCK, SHARD_ITEMS, SHARD_CHARS, K1, B = 4, 20_000, 16_000_000, 1.2, 0.75
 _WORD = re.compile(r"\w+")
 
 
@@ -221,13 +221,15 @@ class Index:
 
 
 def shards(benchmark: DataFrame) -> list[Index]:
-    """The index of all test items, in shards of at most SHARD_ITEMS items."""
+    """The index of all test items, in shards of bounded size."""
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    n = max(1, -(-rows.count() // SHARD_ITEMS))
+    items, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    n = max(1, -(-items // SHARD_ITEMS), -(-(chars or 0) // SHARD_CHARS))
+    build = lambda part: Index.build(sorted(((r[0], r[1]) for r in part.collect()), key=repr))
     if n == 1:
-        return [Index.build(sorted(((r[0], r[1]) for r in rows.collect()), key=repr))]
-    parts = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() for k in range(n))
-    return [Index.build(sorted(((r[0], r[1]) for r in p), key=repr)) for p in parts]
+        return [build(rows)]
+    dealt = stored(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n))))
+    return [build(dealt.where(F.col("part") == k)) for k in range(n)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
