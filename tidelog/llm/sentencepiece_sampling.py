@@ -76,11 +76,14 @@ class Sampler:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
         ranks, self.bytes = {}, {}
+        self.raw = [b""] * n  # the bytes that each piece stands for
         for i in range(n):
             if self.sp.is_byte(i):
                 self.bytes[int(self.sp.id_to_piece(i)[1:-1], 16)] = i
+                self.raw[i] = bytes([int(self.sp.id_to_piece(i)[1:-1], 16)])
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 ranks[self.sp.id_to_piece(i)] = (i, min(float(n), -self.sp.get_score(i)))
+                self.raw[i] = self.sp.id_to_piece(i).replace(MARK, " ").encode()
         total = sum(1 / (r + SMOOTHING) for _, r in ranks.values()) + 256 / (n + SMOOTHING)
         self.pieces = {p: (i, 1 / (r + SMOOTHING) / total) for p, (i, r) in ranks.items()}
         self.byte_p = 1 / (n + SMOOTHING) / total
@@ -106,6 +109,9 @@ class Sampler:
         self.piece_p, self.piece_id = np.zeros(len(nodes)), np.full(len(nodes), -1, np.int64)
         for p, (i, x) in self.pieces.items():
             self.piece_p[nodes[p]], self.piece_id[nodes[p]] = x, i
+        self.trie_first = np.full(self.width, -1, np.int64)  # the nodes of single characters, found without a search
+        top = np.searchsorted(self.trie_key, self.width)
+        self.trie_first[self.trie_key[:top]] = self.trie_to[:top]
         self.longest = max(map(len, self.pieces))
 
     def forget(self) -> None:
@@ -219,6 +225,10 @@ class Sampler:
             i, depth = j, depth + 1
         return log_p, tuple(found)
 
+    def joined(self, ids: np.ndarray) -> str:
+        """The text of a segmentation: its pieces' bytes, without the space before the first word."""
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -272,11 +282,16 @@ class Short:
         for k in range(lattice.longest):
             if not len(at):
                 break
-            key = node * lattice.width + letter[at + k]
-            to = np.searchsorted(lattice.trie_key, key)
-            to[to == len(lattice.trie_key)] = 0
-            hit = (lattice.trie_key[to] == key) & (letter[at + k] > 0)
-            at, node = at[hit], lattice.trie_to[to[hit]]
+            if k == 0:
+                to = lattice.trie_first[letter[at]]
+                hit = to >= 0
+                at, node = at[hit], to[hit]
+            else:
+                key = node * lattice.width + letter[at + k]
+                to = np.searchsorted(lattice.trie_key, key)
+                to[to == len(lattice.trie_key)] = 0
+                hit = (lattice.trie_key[to] == key) & (letter[at + k] > 0)
+                at, node = at[hit], lattice.trie_to[to[hit]]
             grown = scale[at] if grown is None else grown[hit] * scale[at + k]
             p, piece = np.zeros(len(cp)), np.full(len(cp), -1, np.int32)
             p[at], piece[at] = lattice.piece_p[node] * grown, lattice.piece_id[node]
@@ -491,7 +506,7 @@ def encode(docs: DataFrame, draws: int = DRAWS, path: str = MODEL, with_ids: boo
         def part(ids: list, texts: list[str]) -> pa.RecordBatch:
             rows = []
             for i, t, found in zip(ids, texts, lattice.sample([NULL_KEY if i is None else i for i in ids], texts, draws), strict=True):
-                back = lattice.sp.decode([x[2].tolist() for x in found], num_threads=1)
+                back = [lattice.joined(x[2]) for x in found]
                 rows += [(i, n, lp, inc, len(x), s == t, xxhash.xxh64_hexdigest(x.astype("<i4").tobytes(), 0), x) for n, ((lp, inc, x), s) in enumerate(zip(found, back, strict=True))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)], schema=schema)
