@@ -127,3 +127,16 @@ def test_equal_rows_are_different_changes_and_times_keep_their_microseconds(spar
     feed = changefeed.inserts_from(df, "users", txn_ts=F.lit(T))
     rows = capture(feed, [sub("k", columns=("id", "at"))], clock=F.lit(T)).collect()
     assert len({r.id for r in rows}) == 2 and all(json.loads(r.payload)["new"]["at"] == "2024-01-02T03:04:05.123456" for r in rows)
+
+
+def test_settings_in_clauses(spark):
+    spark.conf.set("tide.kind", "it's \\ A")
+    try:
+        df = users(spark, (1, "it's \\ A", 1), (2, "B", 1))
+        feed = changefeed.inserts_from(df, "users", txn_ts=F.lit(T))
+        got = payloads(matched(feed, [sub("k", when="new.name = current_setting('tide.kind')", ext=[("by", "current_setting('tide.kind')"), ("none", "current_setting('tide.none', true)")])]))
+        assert [(p["new"]["id"], p["by"], p["none"]) for _, _, p in got] == [(1, "it's \\ A", None)]
+        with pytest.raises(LookupError):
+            matched(feed, [sub("k", when="current_setting('tide.none') = 'x'")])
+    finally:
+        spark.conf.unset("tide.kind")

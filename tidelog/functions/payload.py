@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .keys import epoch_ms
@@ -13,6 +14,9 @@ from .keys import epoch_ms
 JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+_SETTING = re.compile(r"\bcurrent_setting\(\s*'([^']+)'\s*(?:,\s*(true)\s*)?\)", re.I)
+
+
 @dataclass(frozen=True)
 class Extension:
     json_path: str
@@ -23,6 +27,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def expression(text: str) -> Column:
+    """A user's expression.  ``current_setting('name')`` becomes the session's value when the plan is made; an unknown name
+    is an error, or NULL with ``current_setting('name', true)``."""
+
+    def value(m: re.Match) -> str:
+        got = SparkSession.active().conf.get(m[1], None)
+        if got is None and not m[2]:
+            raise LookupError(f"unknown setting {m[1]}")
+        return "cast(null as string)" if got is None else "'" + got.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr(_SETTING.sub(value, text))
+
+
 def empty_object() -> Column:
     return F.expr("cast(map() as map<string,string>)")
 
@@ -37,7 +54,7 @@ def build_extensions(extensions: Iterable[Extension] | None) -> dict[str, Column
     groups: dict[str, list[tuple[list[str], Column]]] = {}
     for x in sorted(extensions or (), key=lambda x: x.json_path):
         first, *rest = x.json_path.split(".")
-        groups.setdefault(first, []).append((rest, F.expr(x.expression)))
+        groups.setdefault(first, []).append((rest, expression(x.expression)))
     out: dict[str, Column] = {}
     for key in sorted(groups):
         plain = next((value for rest, value in groups[key] if not rest), None)

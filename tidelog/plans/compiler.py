@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import LSN_TYPE, uuid7
-from ..functions.payload import payload_members, to_payload
+from ..functions.payload import expression, payload_members, to_payload
 from ..operators.subscription import Subscription
 
 
@@ -30,13 +30,13 @@ def pre_filter(subscriptions: Iterable[Subscription]) -> Column:
     for group in by.values():
         term = place(group[0])
         if all(s.condition for s in group):
-            term = term & reduce(Column.__or__, [F.expr(f"({s.condition})") for s in group])
+            term = term & reduce(Column.__or__, [expression(f"({s.condition})") for s in group])
         terms.append(term)
     return reduce(Column.__or__, terms, F.lit(False))
 
 
 def fires(s: Subscription) -> Column:
-    return place(s) & F.expr(f"({s.condition})") if s.condition else place(s)
+    return place(s) & expression(f"({s.condition})") if s.condition else place(s)
 
 
 def matched(feed: DataFrame, subscriptions: Iterable[Subscription]) -> DataFrame:
