@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, blocks_in_order, codepoints, components, drop_stored, local_components, loose, map_batches, mix64, partitions, shingle_hashes, stored
 
-LEAST, WINDOW, REACH, RUN, GAP = 50, 14, 4, 5, 25
+LEAST, WINDOW, REACH, RUN, GAP, BLOCK = 50, 14, 4, 5, 25, 128
 BANDS, ROWS, JACCARD, HUBS = 20, 5, 0.8, 4
 PASSES = 2  # the bands move in so many turns, each freeing its shuffle files, to bound the disk
 SHARD, PIECE = 512, 1 << 17
@@ -67,12 +67,14 @@ class Words:
         self.stop = np.searchsorted(self.text, np.arange(len(texts)), "right")  # the end of each text's words
 
 
-def pieces(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts (number of the first, texts) with about PIECE code points or one long text each."""
+def pieces(*columns: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list]]:
+    """Runs of rows (number of the first, texts) with about PIECE code points or one long row each; of several columns
+    the rows' texts are tuples."""
     part, size, first = [], 0, 0
-    for i, t in enumerate(column):
-        part.append(t.as_py() or "")
-        size += len(part[-1])
+    for i, row in enumerate(zip(*columns, strict=True)):
+        texts = tuple(t.as_py() or "" for t in row)
+        part.append(texts if len(columns) > 1 else texts[0])
+        size += sum(map(len, texts))
         if size >= PIECE:
             yield first, part
             part, size, first = [], 0, i + 1
@@ -328,26 +330,58 @@ def seed_pairs(every: DataFrame) -> DataFrame:
     return pairs.groupBy("d", "h").agg(F.collect_set("seed").alias("seeds"))  # as many as a text has windows, at most
 
 
+def equal_runs(a: np.ndarray, b: np.ndarray, d: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal, start and end in ``a`` of the stretches of equal words from a block before each block to one after it;
+    and the blocks (diagonal * 2**32 + block) beyond these where most words still agree."""
+    at = block[:, None] * BLOCK + np.arange(-BLOCK, 2 * BLOCK)
+    to = at - d[:, None]
+    inside = (at >= 0) & (at < len(a)) & (to >= 0) & (to < len(b))
+    same = np.zeros((len(d), 3 * BLOCK + 2), np.int8)
+    same[:, 1:-1] = inside & (a[np.clip(at, 0, len(a) - 1)] == b[np.clip(to, 0, len(b) - 1)])
+    edge = np.diff(same, axis=1)
+    row, s = np.nonzero(edge == 1)
+    e = np.nonzero(edge == -1)[1]
+    left, right = same[:, 1:33].sum(axis=1) > 16, same[:, -33:-1].sum(axis=1) > 16
+    more = np.concatenate([(d * (1 << 32) + block - 1)[left & (block > 0)], (d * (1 << 32) + block + 1)[right & ((block + 1) * BLOCK < len(a))]])
+    return d[row], (block[row] - 1) * BLOCK + s, (block[row] - 1) * BLOCK + e, more
+
+
 def runs_of(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, diagonal) in ``a`` of the runs of RUN or more equal words on the diagonals of the seeds, near these."""
-    out = []
-    diagonals = pa_ - pb
-    for d in np.unique(diagonals).tolist():
-        low, high, covered = max(0, d), min(len(a), len(b) + d), -1
-        for p in np.sort(pa_[diagonals == d]).tolist():
-            if p < covered:
-                continue
-            reach = 256
-            while True:  # further, as long as words agree at the ends
-                lo, hi = max(low, covered, p - reach), min(high, p + reach)
-                same = a[lo:hi] == b[lo - d : hi - d]
-                if not (lo > max(low, covered) and same[:32].mean() > 0.5 or hi < high and same[-32:].mean() > 0.5):
-                    break
-                reach *= 4
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-            out += [(lo + x, lo + y, d) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if y - x >= RUN]
-            covered = hi
-    return sorted(out)
+    """(start, end, diagonal) in ``a`` of the maximal runs of RUN or more equal words on the diagonals of the seeds, in the
+    seeds' blocks, those beside them, and on as far as most words agree."""
+    code = seen = np.unique((pa_ - pb) * (1 << 32) + pa_ // BLOCK)
+    parts = []
+    while len(code):
+        parts += [equal_runs(a, b, c >> 32, c & 0xFFFFFFFF) for c in np.split(code, range(2048, len(code), 2048))]
+        code = np.setdiff1d(np.concatenate([p[3] for p in parts]), seen)
+        seen = np.union1d(seen, code)
+    if not parts:
+        return []
+    d, s, e = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort([s, d])
+    d, s, e = d[order], s[order], e[order]
+    wide = len(a) + 1
+    far = np.maximum.accumulate(e + (d - d[0]) * wide) if len(d) else e
+    head = np.flatnonzero(np.append(True, s[1:] + (d[1:] - d[0]) * wide > far[:-1])) if len(d) else np.zeros(0, np.int64)
+    d, s, e = d[head], s[head], np.maximum.reduceat(e, head) if len(head) else e
+    for k in np.flatnonzero((s > np.maximum(0, d)) & (a[s - 1] == b[np.maximum(s - 1 - d, 0)])).tolist():
+        low = max(0, int(d[k]))
+        while s[k] > low:  # a run that goes on beyond the blocks
+            t = max(low, int(s[k]) - 1024)
+            other = np.flatnonzero(a[t : s[k]] != b[t - d[k] : s[k] - d[k]])
+            s[k] = t + int(other[-1]) + 1 if len(other) else t
+            if len(other):
+                break
+    high = np.minimum(len(a), len(b) + d)
+    for k in np.flatnonzero((e < high) & (a[np.minimum(e, len(a) - 1)] == b[np.clip(e - d, 0, len(b) - 1)])).tolist():
+        while e[k] < high[k]:
+            t = min(int(high[k]), int(e[k]) + 1024)
+            other = np.flatnonzero(a[e[k] : t] != b[e[k] - d[k] : t - d[k]])
+            e[k] = e[k] + int(other[0]) if len(other) else t
+            if len(other):
+                break
+    long = e - s >= RUN
+    return sorted(zip(s[long].tolist(), e[long].tolist(), d[long].tolist(), strict=True))
 
 
 def passages_of(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int]]:
@@ -366,6 +400,9 @@ def passages_of(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, l
         chains.append([(s, e, s - d, e - d)])
     out = []
     for chain in chains:
+        if len(chain) == 1 or sum(x[1] - x[0] for x in chain) < JACCARD * least:  # a passage has more words in common
+            out += [x for x in chain if x[1] - x[0] >= least]
+            continue
         sa, ea, sb, eb = np.array(chain).T
         common = np.append(0, np.cumsum(ea - sa - (RUN - 1)))
         i = 0
@@ -388,27 +425,23 @@ def shared_passages(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> D
     names = ["d", "h", "start", "end", "from", "to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, chars = WordHash(), {}, 0
-
-        def words(tid: int, text: str) -> Words:
-            nonlocal chars
-            if tid not in held:
-                if chars + len(text) > 4 * PIECE:
-                    held.clear()
-                    chars = 0
-                held[tid] = Words([text], known)
-                chars += len(text)
-            return held[tid]
-
+        known = WordHash()
         for b in batches:
-            out: list[tuple] = []
-            for d, h, seeds, dt, ht in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("seeds"), b.column("dt"), b.column("ht"), strict=True):
-                x, y = words(h, ht.as_py()), words(d, dt.as_py())
-                seed = seeds.values.to_numpy()
-                pd, ph = np.searchsorted(y.starts, seed >> 32), np.searchsorted(x.starts, seed & 0xFFFFFFFF)
-                out += [(d, h, y.starts[s], y.ends[e - 1], x.starts[f], x.ends[t - 1]) for s, e, f, t in passages_of(y.hashes, x.hashes, pd, ph, least)]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names)
+            d, h = b.column("d").to_pylist(), b.column("h").to_pylist()
+            for begin, part in pieces(b.column("dt"), b.column("ht")):
+                every: dict[int, str] = {}  # the texts of some pairs; those of one h come together
+                for k, (x, y) in enumerate(part, begin):
+                    every[d[k]], every[h[k]] = x, y
+                w = Words(list(every.values()), known)
+                place = dict(zip(every, zip([0, *w.stop[:-1].tolist()], w.stop.tolist(), strict=True), strict=True))
+                out: list[tuple] = []
+                for k in range(begin, begin + len(part)):
+                    (a, z), (f, t) = place[d[k]], place[h[k]]
+                    seeds = b.column("seeds")[k].values.to_numpy()
+                    at = np.searchsorted(w.starts[a:z], seeds >> 32), np.searchsorted(w.starts[f:t], seeds & 0xFFFFFFFF)
+                    out += [(d[k], h[k], w.starts[a + i], w.ends[a + j - 1], w.starts[f + m], w.ends[f + n - 1]) for i, j, m, n in passages_of(w.hashes[a:z], w.hashes[f:t], *at, least)]
+                cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names)
 
     return map_batches(rows, run, "d long, h long, start int, end int, from int, to int")
 
