@@ -253,8 +253,9 @@ def apart(seen: DataFrame) -> DataFrame:
     masks = "array(" + ", ".join(f"m{k}" for k in range(HUBS)) + ")"
     step = f"aggregate(transform({masks}, (m, k) -> if(acc & shiftleft(1, k) <> 0, m, 0)), acc, (a, x) -> a | x)"
     main = per.select("root", most["bit"].alias("bit"), *(f"m{k}" for k in range(HUBS))).select("root", F.expr(f"aggregate(sequence(1, {HUBS}), bit, (acc, i) -> {step})").alias("reach"))
-    rows = seen.where("NOT hub").join(loose(main, "root"), "root")
-    counts = rows.groupBy("root", "reach").agg(F.count_if(F.col("mask").bitwiseAND(F.col("reach")) == 0).alias("few"), F.count("*").alias("many"))
+    cells = seen.where("NOT hub").groupBy("root", "mask").agg(F.count("*").alias("n"))  # a few a component, counted before they meet
+    rows = cells.join(loose(main, "root"), "root")
+    counts = rows.groupBy("root", "reach").agg(F.sum(F.when(F.col("mask").bitwiseAND(F.col("reach")) == 0, F.col("n")).otherwise(0)).alias("few"), F.sum("n").alias("many"))
     return counts.where("few > 0 AND many > 1")
 
 
