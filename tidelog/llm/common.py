@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +104,11 @@ def loose(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
 
 
+def tokenizer(spark: SparkSession, name: str) -> str:
+    """The path of a vocabulary file; the setting ``spark.tidelog.tokenizers`` names a folder that all executors have."""
+    return f"{spark.conf.get('spark.tidelog.tokenizers', '/opt/tokenizers').rstrip('/')}/{name}"
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows of an Arrow batch, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -223,20 +228,20 @@ def components(edges: DataFrame) -> DataFrame:
     def norm(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        return r["n"], r["h"]
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The normalised edges, stored, with their count and a sum of their hashes, which the write itself observes."""
+        seen = Observation()
+        out = stored(norm(df).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")))
+        return out, (seen.get["n"], seen.get["h"])
 
-    now = stored(norm(edges))
-    seen = mark(now)
+    now, seen = kept(edges)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(loose(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(loose(low, "a"), "a").select("b", "m").toDF("a", "b").unionByName(low.toDF("a", "b"))
-        nxt = stored(norm(small))
-        at = mark(nxt)
+        nxt, at = kept(small)
         drop_stored(now)
         now = nxt
         if at == seen:
