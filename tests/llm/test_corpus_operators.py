@@ -37,8 +37,8 @@ def odd(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
     spark.createDataFrame(odd_rows(), ODD).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, "the cat and the dog went out. they came back at the end of the day!", 1), (None, "the cat and the dog went out. they came back at the end of the day!", 2), (3, None, 1), (4, "", 1)], "item_id long, text string, score int").write.parquet(f"{d}/benchmark.parquet")
-    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, None, None), (None, 1, 1), (6, 1, None), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, "http://a.b/c", "<p>x"), (1, "http://a.b/c", "<p>x"), (2, None, None), (None, "odd", ""), (3, "http://a.b/d", "<p>" * 5000 + "y" + "<div>" * 5000 + "z&amp;" * 20000)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, None, None), (None, 1, 1), (6, 1, None), (6, 1, 1)], "doc_id long, quality int, toxic int").selectExpr("*", "'x' as text", "1 as _q", "2 as _t").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.b/c", "<p>x"), (1, "http://a.b/c", "<p>x"), (2, None, None), (None, "odd", ""), (3, "http://a.b/d", "<p>" * 5000 + "y" + "<div>" * 5000 + "z&amp;" * 20000)], "page_id long, url string, html string").selectExpr("*", "1 as host", "'x' as _host", "'y' as text", "2 as path", "3 as item").write.parquet(f"{d}/pages.parquet")
     return d
 
 
@@ -139,6 +139,34 @@ def test_draws_follow_the_distribution_without_replacement(text):
     assert abs(np.mean([sum(math.exp(lp) / inc for lp, inc, _ in g if inc > 0) for g in got]) - 1) < 0.05
 
 
+def test_sampled_segmentations_of_a_table(spark):
+    """Every row's pieces give the text back, its log probability is the path's over the lattice's total, draws differ."""
+    s = sentencepiece_sampling.sampler()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    p_of = {i: math.log(p) for i, p in s.pieces.values()} | {i: math.log(s.byte_p) for i in s.bytes.values()}
+    totals: dict[str, float] = {}
+
+    def total(chunk):
+        if chunk not in totals:
+            z = [-math.inf] * len(chunk) + [0.0]
+            for i in range(len(chunk) - 1, -1, -1):
+                ends = [math.log(s.pieces[chunk[i:j]][1]) + z[j] for j in range(i + 1, len(chunk) + 1) if chunk[i:j] in s.pieces]
+                if chunk[i] not in s.pieces:
+                    ends.append(len(chunk[i].encode()) * math.log(s.byte_p) + z[i + 1])
+                z[i] = max(ends) + math.log(sum(math.exp(e - max(ends)) for e in ends))
+            totals[chunk] = z[0]
+        return totals[chunk]
+
+    rows = queries.op1_sentencepiece_sampling(spark, SF).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert sentencepiece_sampling.decode([list(r.ids)])[0] == texts[r.doc_id] and r.decoded and r.n_pieces == len(r.ids) and 0 < r.inclusion <= 1
+        want = sum(p_of[i] for i in r.ids) - sum(map(total, s.chunks(texts[r.doc_id])))
+        assert abs(r.log_prob - want) < 1e-6 * max(1, len(r.ids))
+        by[r.doc_id].append(tuple(r.ids))
+    assert by.keys() == texts.keys() and all(len(x) == len(set(x)) == 2 or not texts[i] for i, x in by.items())
+
+
 def test_samples_do_not_depend_on_the_batch():
     s = sentencepiece_sampling.sampler()
     texts = ["one two three", LONG[:5000], "", "x" * 3000, "ünïcode ☃☃☃ text"]
@@ -215,6 +243,42 @@ def test_search_equals_scoring_everything(spark):
     assert [index.item_ids[k] for k, *_ in index.matches(text)] == [7] and not index.matches("filler words here " * 80)
 
 
+def brute_leaks(index, text):
+    """Every window against every item, without bounds and cursors; then every retrieved window is verified."""
+    words = dec.words_of(text)
+    impact = np.zeros((len(index.terms), len(index.item_ids)))
+    for t, (ids, x) in enumerate(index.postings):
+        impact[t, ids] = x
+    found = {}
+    for first, end, longest in index.classes:
+        wide = -(-max(dec.PASSAGE, longest + longest // 8) // 4) * 4
+        for start in range(0, max(1, len(words) - wide + wide // 4), wide // 4):
+            terms = sorted({index.terms[w] for w in words[start : start + wide] if w in index.terms})
+            near = words[max(0, start - wide) : start + 2 * wide]
+            for item in np.flatnonzero(impact[terms].sum(axis=0) >= dec.THRESHOLD - 1e-9).tolist():
+                if first <= item < end and item not in found:
+                    q, a = (dec.overlap(p, near) for p in index.parts[item])
+                    if q >= dec.OVERLAP and a >= dec.OVERLAP or dec.overlap([w for p in index.parts[item] for w in p], near) >= dec.OVERLAP:
+                        found[item] = start
+    return set(found)
+
+
+@pytest.mark.parametrize("size", [20_000, 7])
+def test_leaks_of_a_table_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(dec, "SHARD_ITEMS", size)
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = dec.Index.build([(r.item_id, r.text) for r in items.collect()])
+    got = collections.defaultdict(set)
+    for r in dec.leaks(docs, items).collect():
+        got[r.doc_id].add(r.item_id)
+    if size == 20_000:  # shards weigh words by their own items; what they find is the same on these texts
+        want = {r.doc_id: {index.item_ids[k] for k in brute_leaks(index, r.text)} for r in docs.collect()}
+        assert got == {i: x for i, x in want.items() if x} and got
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in items.collect():
+        assert {i for i, t in texts.items() if r.text and r.text in t} <= {i for i, x in got.items() if r.item_id in x}
+
+
 def test_every_retrieved_passage_is_verified():
     rng = np.random.default_rng(4)
     item = " ".join(f"v{i}" for i in range(24)) + ". " + " ".join(f"a{i}" for i in range(8))
@@ -309,6 +373,65 @@ def test_kneser_ney_sums_to_one():
         assert abs(p + rest - 1) < 1e-3
 
 
+def brute_languages(rows):
+    """Kneser-Ney by its definition, over strings: the entropy of every text under every language's model."""
+    def clean(t):
+        out = re.sub(" +", " ", "".join(c if len(c := x.lower()) == 1 and x.isalpha() else x if x.isalpha() else " " for x in t))
+        return out
+
+    def grams(t):
+        t = "   " + clean(" " + t)[1:] if t[:1].isalpha() else "  " + clean(" " + t)
+        return [t[i - 3 : i + 1] for i in range(3, len(t))]
+
+    langs = sorted({lang for lang, t, learn in rows if lang and learn and t is not None})
+    counts = {lang: [None, {}, {}, {}, collections.Counter()] for lang in langs}
+    for lang, t, learn in rows:
+        if learn and lang and t is not None:
+            counts[lang][4].update(grams(t))
+    for c in counts.values():
+        for n in (3, 2, 1):
+            c[n] = collections.Counter(g[1:] for g in c[n + 1])
+    size = len({g for c in counts.values() for g in c[1]}) + 1
+    sums = {lang: [None] + [collections.defaultdict(lambda: [0, 0]) for _ in range(4)] for lang in langs}
+    for lang, c in counts.items():
+        for n in range(1, 5):
+            for g, k in c[n].items():
+                x = sums[lang][n][g[:-1]]
+                x[0], x[1] = x[0] + k, x[1] + 1
+
+    def p(lang, g):
+        n = len(g)
+        if n == 0:
+            return 1 / size
+        total, kinds = sums[lang][n].get(g[:-1], (0, 0))
+        low = p(lang, g[1:])
+        return low if not total else max(0, counts[lang][n].get(g, 0) - lid.DISCOUNT * (g in counts[lang][n])) / total + lid.DISCOUNT * kinds / total * low
+
+    out = []
+    for _, t, _ in rows:
+        got = grams(t or "")
+        letters = sum(g[-1] != " " for g in got)
+        out.append((letters, {lang: -sum(math.log(p(lang, g)) for g in got) / max(1, letters) for lang in langs}))
+    return out
+
+
+def test_languages_of_a_table_equal_brute_force(spark):
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    docs = [r for r in docs if len(r.text or "") < 3000]
+    frame = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string")
+    want = brute_languages([(r.lang, r.text, zlib.crc32(str(r.doc_id).encode()) % 4 != 2) for r in docs])
+    got = {r.doc_id: r for r in lid.identify(frame).collect()}
+    for r, (letters, each) in zip(docs, want, strict=True):
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not letters:
+            assert g.lang_pred == "und" and g.rejected
+        else:
+            assert g.lang_pred == min(each, key=each.get) and abs(g.cross_entropy - min(each.values())) < 1e-4
+
+
 def test_language_counts_are_never_cut(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("_row", F.lit(1))
     docs = docs.where("doc_id < 300").unionByName(spark.createDataFrame([(1000 + k, None if k else "ЖЩЫ фывапр олджэ", None, "", 0, 1) for k in range(2)], docs.schema))
@@ -335,6 +458,28 @@ def test_toxicity_catches_held_out_documents(spark):
     assert np.mean([r.said for r in got if not r.toxic]) < 0.05
 
 
+def test_toxicity_of_a_table_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    known = toxicity.WordHash()
+    got = {r.doc_id: r for r in toxicity.predict(docs, chain).collect()}
+    for r in docs.collect():
+        f, early = toxicity.features(r.text, known).tolist(), []
+        for k, name in enumerate(toxicity.CHAIN):
+            z = sum(float(chain.words[k][i]) for i in f) * max(1, len(f)) ** toxicity.SCALE + chain.bias[k] + sum(chain.earlier[k][j] * e for j, e in enumerate(early))
+            early.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+            assert abs(got[r.doc_id][f"p_{name}"] - early[-1]) < 1e-6
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    words = [f"w{k}" for k in range(6000)]
+    rows = [(k, " ".join(words) + (" vile" if k % 2 else " kind"), k % 2) for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.classify(docs, labels).collect()}
+    assert all(got[k] == bool(y) for k, _, y in rows)
+
+
 # 7
 def test_secrets(spark):
     key = "x9Kq2LmZ7vTr4WpY8sNb3HdF6gJc"

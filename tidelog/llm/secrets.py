@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, tokenizer
 
 KINDS = ("assign", "access", "hex", "opaque")
 MIN_RUN, CHARS_PER_TOKEN, LETTERS_PER_TOKEN, WORD = 20, 2.2, 1.9, 20
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+FILE = "byte_bpe_50k.tiktoken"
+VOCABULARY = f"/opt/tokenizers/{FILE}"
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -142,10 +143,10 @@ def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", path: str = VOCABULARY) -> str | None:
     """The text with every secret, overlapping ones together, replaced by ``mark``."""
     out, at = [], 0
-    found = spans(text)
+    found = spans(text, path)
     if not found:
         return text
     for _, a, b in found:
@@ -155,8 +156,9 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ``found``: an array of (kind, start, end) of every row."""
+    path = path or tokenizer(docs.sparkSession, FILE)
     kind = "array<struct<kind:string,start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +170,14 @@ def scan(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id long, found {kind}")
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with the secrets in ``text`` masked and ``n_chars`` counted anew where a text changed."""
-    names = docs.columns
+    names, path = docs.columns, path or tokenizer(docs.sparkSession, FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             old = b.column("text").to_pylist()
-            new = [redact(t) for t in old]
+            new = [redact(t, path=path) for t in old]
             at = names.index("text")
             b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
             if "n_chars" in names:

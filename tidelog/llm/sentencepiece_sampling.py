@@ -34,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, mix64
+from .common import map_batches, mix64, tokenizer
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+FILE = "piece_bpe_32k.model"
+MODEL = f"/opt/tokenizers/{FILE}"
 DRAWS, SMOOTHING, BATCH_CHARS, CACHE_CHUNKS, CACHE_LATTICES, SHORT = 2, 10.0, 1 << 19, 300_000, 4_000, 48
 NULL_KEY = -(1 << 63)
 MARK = "▁"
@@ -491,11 +492,12 @@ def decode(ids: list[list[int]], path: str = MODEL) -> list[str]:
     return sampler(path).sp.decode(ids, num_threads=1)
 
 
-def encode(docs: DataFrame, draws: int = DRAWS, path: str = MODEL, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, draws: int = DRAWS, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, draw (from 0), log_prob, inclusion, n_pieces, decoded (whether decoding gives the text back), digest, ids.
 
     ``digest`` is a 64-bit hash of the piece ids, in hex; ``ids`` is left out unless ``with_ids``.
     """
+    path = path or tokenizer(docs.sparkSession, FILE)
     schema = pa.schema([("doc_id", pa.int64()), ("draw", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("n_pieces", pa.int32()), ("decoded", pa.bool_()), ("digest", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
