@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NEAR, LEAST = 40, 70
+NEAR, LEAST, CHUNK = 40, 70, 1000
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 
 # Patterns of the proposals.  A start inside a run of the local part can only succeed where the run's start does, or
@@ -81,8 +81,11 @@ def spans_of(kind: str) -> str:
     found = f"regexp_extract_all(t, '{regex}', 0)"
     placed = f"zip_with({found}, {starts_of(found, f"split(t, '{regex}', -1)")}, (m, s) -> named_struct('m', m, 'start', s))"
     kept = f"filter({placed}, x -> transform(array(x.m), m -> {CHECKS[kind]})[0])"
-    context = f"lower(substr(t, greatest(x.start - {NEAR}, 0) + 1, least(x.start, {NEAR}))) rlike '(^|[^a-z])({CONTEXT[kind]})'"
+    at = f"greatest(x.start - {NEAR}, 0)"  # the context begins there; it is taken from two chunks, as a place in a text is only found by counting
+    near = f"substr(concat(c[{at} div {CHUNK}], coalesce(try_element_at(c, cast({at} div {CHUNK} + 2 as int)), '')), cast({at} % {CHUNK} + 1 as int), least(x.start, {NEAR}))"
+    context = f"lower({near}) rlike '(^|[^a-z])({CONTEXT[kind]})'"
     scored = f"transform({kept}, x -> named_struct('start', x.start, 'k', {k}, 'end', x.start + length(x.m), 'score', {50 + CHECKED[kind]} + if({context}, 20, 0)))"
+    scored = f"transform(array(regexp_extract_all(t, '(?s).{{1,{CHUNK}}}', 0)), c -> {scored})[0]"
     if k > 3:
         scored = f"filter({scored}, x -> x.score >= {LEAST})"
     return f"case when {NEEDS[kind]} and size({found}) > 0 then {scored} else cast(array() as {SPAN}) end"
