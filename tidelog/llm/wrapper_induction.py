@@ -25,9 +25,9 @@ from __future__ import annotations
 import html as html_
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -68,12 +68,14 @@ class Node:
         self.tag, self.key, self.silent, self.path, self.place = tag, key, silent, path, place
         self.children: list[Node] = []
         self.texts: list[str] = []
-        self.seen: dict[str, int] = {}  # containers among its children, by key
+        self.seen: dict[str, int] | None = None  # containers among its children, by key
 
 
-def names(token: str, words: set[str]) -> bool:
-    """Whether a class or id is one of ``words``, or made of them and of words that say nothing (``site-footer``, but not
-    ``notice-period``)."""
+@lru_cache(maxsize=1 << 16)
+def names(token: str, heads: bool) -> bool:
+    """Whether a class or id is a word of page furniture (or of its ``heads``), or made of such words and of words that say
+    nothing (``site-footer``, but not ``notice-period``)."""
+    words = HEADS if heads else WORDS
     parts = [w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w]
     return not words.isdisjoint(parts) and all(p in WORDS or p in HEADS or p in PLAIN or p.isdigit() for p in parts)
 
@@ -91,7 +93,7 @@ def furniture(tag: str, attrs: str, inside: bool, lists: bool = True) -> tuple[s
             if name in ("class", "id"):
                 if not first and name == "class":
                     first = next((w for w in _SPLIT.split(value.lower()) if w), "")
-                if lists and tag not in MAIN and any(names(t, WORDS) or not inside and names(t, HEADS) for t in value.split()):
+                if lists and tag not in MAIN and any(names(t, False) or not inside and names(t, True) for t in value.split()):
                     bad = True
             elif name == "role":
                 bad |= lists and value.lower() in ROLES and tag not in MAIN
@@ -175,6 +177,8 @@ def parse(page: str | None, lists: bool = True) -> tuple[Node, list[tuple[Node,
         if len(stack) <= DEPTH:
             nth = ""
             if tag in NUMBERED:
+                if up.seen is None:
+                    up.seen = {}
                 up.seen[key] = up.seen.get(key, 0) + 1
                 nth = f"[{up.seen[key]}]" if up.seen[key] > 1 else ""
             path, place = f"{path}/{key}", f"{place}/{key}{nth}"
