@@ -17,7 +17,7 @@ from tidelog.llm import multiset_fingerprint as fp
 from tidelog.llm import paragraph_minhash as pm
 from tidelog.llm import pii, queries, secrets, sentencepiece_sampling, simhash_bktree, toxicity
 from tidelog.llm import wrapper_induction as wi
-from tidelog.llm.common import components, local_components
+from tidelog.llm.common import components, forests, local_components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -597,6 +597,34 @@ def test_components_of_a_chain_and_a_star(spark):
     assert local_components(7, a, b).tolist() == [0, 0, 2, 0, 4, 0, 6]
 
 
+@pytest.mark.parametrize("bound", [0, 300, 1 << 20])
+def test_components_of_any_size_equal_brute_force(spark, bound):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-700, 700, (2, 900))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    want = nodes[local_components(len(nodes), at[:900], at[900:])]
+    edges = spark.createDataFrame([*zip(a.tolist(), b.tolist(), strict=True), (None, 1), (5, None)], "a long, b long").repartition(6)
+    got = components(edges, bound).collect()
+    own = set(a[a != b].tolist()) | set(b[a != b].tolist())
+    assert sorted((r.node, r.root) for r in got) == sorted((x, r) for x, r in zip(nodes.tolist(), want.tolist(), strict=True) if x in own)
+
+
+def test_components_of_a_bounded_graph_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("bounded graph", "")
+    try:
+        assert components(edges).where("root = 0").count() == 501
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bounded graph")) <= 6
+
+
+def test_forests_keep_connections_however_runs_are_cut(spark):
+    edges = spark.createDataFrame([(i % 40, i * 7 % 40) for i in range(4000)], "a long, b long").coalesce(2)
+    few = forests(edges, rows=10)
+    assert few.count() < 400 and {r.root for r in components(few).collect()} == {r.root for r in components(edges, 0).collect()}
+
+
 def test_every_group_keeps_a_row_where_doc_ids_clash(spark):
     x, y, z = ("".join(f"{c}{k} " for k in range(40)) for c in "xyz")
     rows = [(1, x), (1, y), (5, y), (5, y), (7, z), (8, x), (0, z), (9, None)]

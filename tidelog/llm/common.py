@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 _scopes: list[list[DataFrame]] = []
 MASK64 = (1 << 64) - 1
+ONE_TASK = 1 << 20  # so many edges of a graph a task can hold
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -217,35 +218,82 @@ def blocks_in_order(batches: Iterator[pa.RecordBatch], key: str = "block", rows:
         yield pa.concat_tables(kept).combine_chunks()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forests(edges: DataFrame, rows: int = 1 << 18, roots: bool = False) -> DataFrame:
+    """Fewer edges (a, b) that connect the same nodes: of each run of a partition's rows a star forest, ``b`` the smallest node.
+
+    A run goes on while its forest stays small, so edges between the same nodes again and again become one.  ``roots``
+    adds the edge from each smallest node to itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        size = 0
+        forest = np.zeros((2, 0), np.int64)
+
+        def grown() -> np.ndarray:
+            edge = np.concatenate([forest, *kept], axis=1)
+            nodes, at = np.unique(edge, return_inverse=True)
+            a, b = at.reshape(edge.shape)
+            labels = local_components(len(nodes), a, b)
+            held = np.flatnonzero((labels != np.arange(len(nodes))) | roots)
+            return np.stack([nodes[held], nodes[labels[held]]])
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest], ["a", "b"])
+
+        for batch in batches:
+            kept.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)]))
+            size += batch.num_rows
+            if size >= rows:
+                forest, kept = grown(), []
+                size = forest.shape[1]
+                if 2 * size > rows:
+                    yield out()
+                    forest, size = forest[:, :0], 0
+        forest = grown()
+        yield out()
+
+    return map_batches(edges.where("a <> b").select("a", "b"), run, "a long, b long")
+
+
+def components(edges: DataFrame, bound: int = ONE_TASK) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as rows (node, root), root the smallest node; isolated nodes have no row.
 
-    Alternates large-star and small-star steps over tables in the shared folder until nothing changes.  Every step
-    pre-aggregates on a node before the shuffle and joins in a way that adaptive execution can split, so a node with very
-    many edges need not meet in one task.
+    Every task first reduces the edges that it has to forests.  What ``bound`` edges or fewer are left is solved in one
+    task, whose memory that bounds.  While there are more, large-star and small-star steps alternate over tables in the
+    shared folder until nothing changes.  Every step pre-aggregates on a node before the shuffle and joins in a way that
+    adaptive execution can split, so a node with very many edges need not meet in one task.
     """
 
     def norm(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
-        """The normalised edges, stored, with their count and a sum of their hashes, which the write itself observes."""
+        """The edges, stored, with their count and a sum of their hashes, which the write itself observes."""
         seen = Observation()
-        out = stored(norm(df).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")))
+        out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")))
         return out, (seen.get["n"], seen.get["h"])
 
-    now, seen = kept(edges)
-    while seen[0]:
+    now, seen = kept(forests(edges))
+    if seen[0] > bound:
+        first = now
+        now, seen = kept(norm(first))
+        drop_stored(first)
+    while seen[0] > bound:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(loose(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(loose(low, "a"), "a").select("b", "m").toDF("a", "b").unionByName(low.toDF("a", "b"))
-        nxt, at = kept(small)
+        nxt, at = kept(norm(small))
         drop_stored(now)
         now = nxt
         if at == seen:
             break
         seen = at
+    else:
+        done = stored(forests(now.coalesce(1), bound + 1, roots=True))
+        drop_stored(now)
+        return done.toDF("node", "root")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
