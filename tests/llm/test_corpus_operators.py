@@ -177,6 +177,14 @@ def test_samples_do_not_depend_on_the_batch():
         assert all(s.joined(x[2]) == t == sentencepiece_sampling.decode([x[2].tolist()])[0] for x in alone)
 
 
+def test_trie_lookup_equals_a_search():
+    s = sentencepiece_sampling.sampler()
+    rng = np.random.default_rng(4)
+    key = np.concatenate([s.trie_key, s.trie_key + 1, s.trie_key - 1, rng.integers(0, int(s.trie_key[-1]) + 9, 200_000)])
+    to, hit = s.find(key)
+    assert s.crowded.any() and (hit == np.isin(key, s.trie_key)).all() and (s.trie_key[to[hit]] == key[hit]).all()
+
+
 def test_sampling_keeps_nothing_of_drawn_segmentations():
     s = sentencepiece_sampling.Sampler(sentencepiece_sampling.MODEL)
     for k in range(5):

@@ -38,7 +38,7 @@ from .common import map_batches, mix64, tokenizer
 
 FILE = "piece_bpe_32k.model"
 MODEL = f"/opt/tokenizers/{FILE}"
-DRAWS, SMOOTHING, BATCH_CHARS, CACHE_CHUNKS, CACHE_LATTICES, SHORT = 2, 10.0, 1 << 19, 300_000, 4_000, 48
+DRAWS, SMOOTHING, BATCH_CHARS, CACHE_CHUNKS, CACHE_LATTICES, SHORT, PLACES = 2, 10.0, 1 << 19, 300_000, 4_000, 48, 20
 NULL_KEY = -(1 << 63)
 MARK = "▁"
 Path = tuple[int, ...]
@@ -114,6 +114,27 @@ class Sampler:
         top = np.searchsorted(self.trie_key, self.width)
         self.trie_first[self.trie_key[:top]] = self.trie_to[:top]
         self.longest = max(map(len, self.pieces))
+        place = self.place(self.trie_key)
+        self.trie_at = np.zeros(1 << PLACES, np.int32)
+        self.trie_at[place] = np.arange(len(place))
+        beside = self.trie_at[place] != np.arange(len(place))  # keys whose place another key has
+        self.crowded = np.zeros(1 << PLACES, bool)
+        self.crowded[place[beside]] = True
+
+    @staticmethod
+    def place(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key stands in the trie, and whether it does: looked up by its hash, searched only where keys share one."""
+        place = self.place(key)
+        to = self.trie_at[place]
+        hit = self.trie_key[to] == key
+        again = np.flatnonzero(self.crowded[place] & ~hit)
+        if len(again):
+            to[again] = np.minimum(np.searchsorted(self.trie_key, key[again]), len(self.trie_key) - 1)
+            hit[again] = self.trie_key[to[again]] == key[again]
+        return to, hit
 
     def forget(self) -> None:
         """Starts the chunk tables anew, so that they stay bounded."""
@@ -183,7 +204,7 @@ class Sampler:
     def others(self, chunks: list[str], seeds: np.ndarray) -> np.ndarray:
         """Enters for each chunk a segmentation drawn from all but the best; returns their numbers."""
         out = np.zeros(len(chunks), np.int64)
-        size = np.array([len(c) for c in chunks])
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         for m in np.flatnonzero(size > SHORT).tolist():
             lp, path = self.another(chunks[m], [self.path(self.known[chunks[m]])], int(seeds[m]))
             out[m] = self.enter(np.array([lp]), np.array([len(path)]), np.array(path))
@@ -268,15 +289,16 @@ class Short:
     """
 
     def __init__(self, lattice: Sampler, chunks: list[str]):
-        cp = np.frombuffer("".join(c + "\0" for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(c) for c in chunks])
+        cp = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         self.begin = np.cumsum(size + 1) - size - 1
         self.end = self.begin + size
         letter = lattice.letter[cp]
         width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
         inside = np.ones(len(cp), bool)
         inside[self.end] = False
-        at, node, rows = np.flatnonzero(inside), 0, []
+        at, node, rows = np.flatnonzero(inside), 0, 0
+        p, piece = np.zeros((lattice.longest, len(cp))), np.zeros((lattice.longest, len(cp)), np.int32)  # pieces from 1
         left = np.repeat(self.end, size + 1) - np.arange(len(cp))
         scale, grown = 1e3**width, None
         single = np.zeros(len(cp), bool)
@@ -288,23 +310,21 @@ class Short:
                 hit = to >= 0
                 at, node = at[hit], to[hit]
             else:
-                key = node * lattice.width + letter[at + k]
-                to = np.searchsorted(lattice.trie_key, key)
-                to[to == len(lattice.trie_key)] = 0
-                hit = (lattice.trie_key[to] == key) & (letter[at + k] > 0)
+                nxt = letter[at + k]
+                to, hit = lattice.find(node * lattice.width + nxt)
+                hit &= nxt > 0
                 at, node = at[hit], lattice.trie_to[to[hit]]
             grown = scale[at] if grown is None else grown[hit] * scale[at + k]
-            p, piece = np.zeros(len(cp)), np.full(len(cp), -1, np.int32)
-            p[at], piece[at] = lattice.piece_p[node] * grown, lattice.piece_id[node]
+            p[k, at], piece[k, at] = lattice.piece_p[node] * grown, lattice.piece_id[node] + 1
             if k == 0:
-                single = inside & (piece < 0)
-                p[single] = lattice.byte_p ** width[single] * scale[single]
-            rows.append((p, piece))
+                single = inside & (piece[0] == 0)
+                p[0, single] = lattice.byte_p ** width[single] * scale[single]
+            rows += 1
             go = left[at] > k + 1
             at, node, grown = at[go], node[go], grown[go]
-        self.p, self.piece = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+        self.p, self.piece = p[:rows], piece[:rows]
         self.width, self.cp, self.bytes, self.single = width, cp, lattice.bytes, single
-        self.total, self.top = np.ones(len(cp) + len(rows)), np.ones(len(cp) + len(rows))
+        self.total, self.top = np.ones(len(cp) + rows), np.ones(len(cp) + rows)
         self.choice = np.zeros(len(cp), np.int64)
         order = np.argsort(left.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(left[order], np.arange(1, SHORT + 2))
@@ -312,7 +332,7 @@ class Short:
             s = order[a:b]
             if not len(s):
                 continue
-            n = min(t, len(rows))
+            n = min(t, rows)
             to = s + np.arange(1, n + 1)[:, None]
             w = self.p[:n, s]
             self.total[s] = (w * self.total[to]).sum(axis=0)
@@ -334,7 +354,7 @@ class Short:
         on, cur, stop = np.full(len(self.cp), -1, np.int64), self.begin, self.end
         while len(cur):
             k = self.choice[cur]
-            on[cur] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur])
+            on[cur] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur] - 1)
             cur = cur + k + 1
             go = cur < stop
             cur, stop = cur[go], stop[go]
@@ -358,7 +378,7 @@ class Short:
             u = ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 * run[-1]
             k = np.minimum((run <= u).sum(axis=0), n - 1)
             log_p[who] += np.log(q[k, col])
-            on[cur] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur])
+            on[cur] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur] - 1)
             same &= k == best
             cur = cur + k + 1
             go = cur < self.end[who]
