@@ -17,7 +17,7 @@ from tidelog.llm import multiset_fingerprint as fp
 from tidelog.llm import paragraph_minhash as pm
 from tidelog.llm import pii, queries, secrets, sentencepiece_sampling, simhash_bktree, toxicity
 from tidelog.llm import wrapper_induction as wi
-from tidelog.llm.common import components, forests, local_components
+from tidelog.llm.common import components, forests, local_components, map_batches
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -633,6 +633,19 @@ def test_forests_keep_connections_however_runs_are_cut(spark):
     assert few.count() < 400 and {r.root for r in components(few).collect()} == {r.root for r in components(edges, 0).collect()}
 
 
+def test_steps_on_batches_share_one_python_worker(spark):
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    fps = spark.createDataFrame([(x,) for x in range(64)], "fp long")
+    assert steps(forests(simhash_bktree.links(fps))) == 1
+    edges = spark.createDataFrame([(1, 2), (3, 3), (None, 4), (2, 5), (5, None), (9, 8)], "a long, b long")
+    again = map_batches(map_batches(edges, lambda batches: (b.slice(1) for b in batches), "a long, b long"), lambda batches: batches, "a long, b long")
+    assert steps(again) == 1 and again.count() < 6
+    mapped = map_batches(edges, lambda batches: batches, "a long, b long")
+    assert {(r.node, r.root) for r in components(mapped).collect()} == {(1, 1), (2, 1), (5, 1), (8, 8), (9, 8)}
+    named = map_batches(edges.withColumnRenamed("a", "_mapped"), lambda batches: batches, "_mapped long, b long")
+    assert steps(named.where("b > 2")) == 1 and named.count() == 6
+
+
 def test_every_group_keeps_a_row_where_doc_ids_clash(spark):
     x, y, z = ("".join(f"{c}{k} " for k in range(40)) for c in "xyz")
     rows = [(1, x), (1, y), (5, y), (5, y), (7, z), (8, x), (0, z), (9, None)]

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,8 +118,16 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df`` with its batches mapped by ``fn``.  On what ``map_batches`` returned, both functions run in one Python worker:
+    a step of its own would give every task one more worker, which Spark keeps and hands to later tasks in turn, so that
+    each one's tables fill an executor's memory.
+    """
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    source, first = vars(df).get("_mapped", (df, None))
+    both = (lambda batches: fn(first(batches))) if first else fn
+    out = source.mapInArrow(both, schema)
+    out._mapped = source, both
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -242,7 +251,8 @@ def forests(edges: DataFrame, rows: int = 1 << 18, roots: bool = False) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(x) for x in forest], ["a", "b"])
 
         for batch in batches:
-            kept.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)]))
+            batch = batch.filter(pc.not_equal(batch.column("a"), batch.column("b")))
+            kept.append(np.stack([batch.column(k).to_numpy() for k in ("a", "b")]))
             size += batch.num_rows
             if size >= rows:
                 forest, kept = grown(), []
@@ -253,7 +263,7 @@ def forests(edges: DataFrame, rows: int = 1 << 18, roots: bool = False) -> DataF
         forest = grown()
         yield out()
 
-    return map_batches(edges.where("a <> b").select("a", "b"), run, "a long, b long")
+    return map_batches(edges, run, "a long, b long")
 
 
 def components(edges: DataFrame, bound: int = ONE_TASK) -> DataFrame:
