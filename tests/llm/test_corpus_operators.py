@@ -185,6 +185,30 @@ def test_trie_lookup_equals_a_search():
     assert s.crowded.any() and (hit == np.isin(key, s.trie_key)).all() and (s.trie_key[to[hit]] == key[hit]).all()
 
 
+def test_a_chunk_that_is_drawn_often_has_one_lattice(monkeypatch):
+    s, built = sentencepiece_sampling.Sampler(sentencepiece_sampling.MODEL), []
+
+    class Short(sentencepiece_sampling.Short):
+        def __init__(self, lattice, chunks):
+            built.append(chunks)
+            super().__init__(lattice, chunks)
+
+    monkeypatch.setattr(sentencepiece_sampling, "Short", Short)
+    s.sample(list(range(40)), ["segmentations of reticulated words " * 50] * 40, 2)
+    assert len(built) > 1 and all(len(set(x)) == len(x) for x in built)
+
+
+def test_numbered_chunks_are_those_of_the_pattern():
+    s, rng = sentencepiece_sampling.sampler(), np.random.default_rng(3)
+    parts = np.array([" ", "  ", "\n", "\n\n\n", "▁", "a", "bc", "é", "日", "\t", "🙂"], object)
+    texts = ["", " ", "\n", "     ", "\n" * 7, *("".join(rng.choice(parts, n)) for n in rng.integers(1, 25, 3000))]
+    for some in (texts, ["a b", "a\0b  c\n"], ["a \ud800 b", "c"], ["", ""], []):
+        want = [s.chunk.findall("▁" + t.replace(" ", "▁")) if t else [] for t in some]
+        names, code, counts = s.numbered(some)
+        assert [names[i] for i in code.tolist()] == [c for x in want for c in x] and counts.tolist() == [len(x) for x in want]
+        assert len(set(names)) == len(names) and [s.chunks(t) for t in some] == want
+
+
 def test_sampling_keeps_nothing_of_drawn_segmentations():
     s = sentencepiece_sampling.Sampler(sentencepiece_sampling.MODEL)
     for k in range(5):

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_batches, mix64, tokenizer
@@ -85,6 +86,7 @@ class Sampler:
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 ranks[self.sp.id_to_piece(i)] = (i, min(float(n), -self.sp.get_score(i)))
                 self.raw[i] = self.sp.id_to_piece(i).replace(MARK, " ").encode()
+        self.spelt = pa.array(self.raw, pa.binary())
         total = sum(1 / (r + SMOOTHING) for _, r in ranks.values()) + 256 / (n + SMOOTHING)
         self.pieces = {p: (i, 1 / (r + SMOOTHING) / total) for p, (i, r) in ranks.items()}
         self.byte_p = 1 / (n + SMOOTHING) / total
@@ -201,17 +203,19 @@ class Sampler:
             entry = self.enter(*Short(self, part).best())
             self.known.update(zip(part, range(entry, entry + len(part)), strict=True))
 
-    def others(self, chunks: list[str], seeds: np.ndarray) -> np.ndarray:
-        """Enters for each chunk a segmentation drawn from all but the best; returns their numbers."""
-        out = np.zeros(len(chunks), np.int64)
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    def others(self, names: list[str], code: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """Enters for each chunk, a number of ``names``, a segmentation drawn from all but the best; returns their numbers."""
+        out = np.zeros(len(code), np.int64)
+        size = np.fromiter(map(len, names), np.int64, len(names))[code]
         for m in np.flatnonzero(size > SHORT).tolist():
-            lp, path = self.another(chunks[m], [self.path(self.known[chunks[m]])], int(seeds[m]))
+            chunk = names[code[m]]
+            lp, path = self.another(chunk, [self.path(self.known[chunk])], int(seeds[m]))
             out[m] = self.enter(np.array([lp]), np.array([len(path)]), np.array(path))
         at = np.flatnonzero(size <= SHORT)
         for k in range(0, len(at), 20_000):
             part = at[k : k + 20_000]
-            entry = self.enter(*Short(self, [chunks[m] for m in part.tolist()]).other(seeds[part]))
+            own, which = np.unique(code[part], return_inverse=True)  # one lattice for all draws of a chunk
+            entry = self.enter(*Short(self, [names[i] for i in own.tolist()]).other(seeds[part], which))
             out[part] = np.arange(entry, entry + len(part))
         return out
 
@@ -249,22 +253,65 @@ class Sampler:
 
     def joined(self, ids: np.ndarray) -> str:
         """The text of a segmentation: its pieces' bytes, without the space before the first word."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        if not len(ids):
+            return ""
+        spelt = self.spelt.take(pa.array(ids))
+        _, ends, values = spelt.buffers()
+        return values.to_pybytes()[: int(np.frombuffer(ends, np.int32)[len(ids)])].decode("utf-8", "replace")[1:]
+
+    def marked(self, text: str) -> str:
+        """A text without NUL, its chunks parted by NULs: one before each space and around each line end, runs joined again."""
+        if not text:
+            return ""
+        text = " " + text.replace(MARK, " ")
+        out = text.replace(" ", "\0" + MARK)
+        if "  " in text:  # twice, as the runs that a pass joins do not overlap
+            out = out.replace(f"{MARK}\0{MARK}", MARK + MARK).replace(f"{MARK}\0{MARK}", MARK + MARK)
+        if "\n" in text:
+            out = out.replace("\n", "\0\n\0")
+            if "\n\n" in text:
+                out = out.replace("\n\0\0\n", "\n\n").replace("\n\0\0\n", "\n\n")
+        return out
 
     def chunks(self, text: str) -> list[str]:
-        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
+        if "\0" in text:
+            return self.chunk.findall(MARK + text.replace(" ", MARK))
+        return list(filter(None, self.marked(text).split("\0")))
+
+    def numbered(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different chunks of some texts, the number of each chunk in turn, and how many a text has."""
+        if not any("\0" in t for t in texts):
+            try:
+                marked = pa.array(map(self.marked, texts), pa.large_string())
+            except UnicodeEncodeError:  # a lone surrogate
+                pass
+            else:
+                lists = pc.split_pattern(marked, "\0")
+                coded = lists.values.dictionary_encode()
+                names, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+                ends = lists.offsets.to_numpy()
+                if "" in names:
+                    z = names.index("")
+                    held = code != z
+                    ends = np.append(0, np.cumsum(held))[ends]
+                    code = code[held]
+                    code -= code > z
+                    del names[z]
+                return names, code, np.diff(ends)
+        parts = [self.chunks(t) for t in texts]
+        place = {c: i for i, c in enumerate(dict.fromkeys(c for p in parts for c in p))}
+        return list(place), np.array([place[c] for p in parts for c in p], np.int64), np.array([len(p) for p in parts], np.int64)
 
     def sample(self, keys: list[int], texts: list[str], k: int) -> list[list[tuple[float, float, np.ndarray]]]:
         """For each text its draws (log probability, inclusion, piece ids), the largest perturbed value first."""
         if len(self.known) > CACHE_CHUNKS:
             self.forget()
-        parts = [self.chunks(t) for t in texts]
-        flat = [c for p in parts for c in p]
-        self.best([c for c in dict.fromkeys(flat) if c not in self.known])
-        first = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        names, code, counts = self.numbered(texts)
+        self.best([c for c in names if c not in self.known])
+        first = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[code]
         columns = (self.log_p, self.at, self.n, self.ids)
         sizes = [c.n for c in columns]  # the best ones stay; what is drawn besides belongs to these texts only
-        out = Search(self, np.array([x & ((1 << 64) - 1) for x in keys], np.uint64), flat, first, np.array([len(p) for p in parts])).run(k)
+        out = Search(self, np.array([x & ((1 << 64) - 1) for x in keys], np.uint64), names, code, first, counts).run(k)
         for column, size in zip(columns, sizes, strict=True):
             column.cut(size)
         return out
@@ -300,7 +347,7 @@ class Short:
         at, node, rows = np.flatnonzero(inside), 0, 0
         p, piece = np.zeros((lattice.longest, len(cp))), np.zeros((lattice.longest, len(cp)), np.int32)  # pieces from 1
         left = np.repeat(self.end, size + 1) - np.arange(len(cp))
-        scale, grown = 1e3**width, None
+        scale, grown = np.array([1.0, 1e3, 1e6, 1e9, 1e12])[width], None
         single = np.zeros(len(cp), bool)
         for k in range(lattice.longest):
             if not len(at):
@@ -340,15 +387,16 @@ class Short:
             self.choice[s] = value.argmax(axis=0)
             self.top[s] = value.max(axis=0)
 
-    def out(self, on: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probabilities, piece counts and pieces of the segmentations that ``on`` marks (piece, or -2 for bytes)."""
-        count = np.where(on >= 0, 1, np.where(on == -2, self.width, 0))
+    def out(self, on: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities, piece counts and pieces of the segmentations that ``on`` marks (piece, or -2 for bytes) for the
+        characters ``at``, each one's from ``begin`` to ``end``."""
+        count = np.where(on >= 0, 1, np.where(on == -2, self.width[at], 0))
         ids = on[on != -1]
         if (on == -2).any():
-            raw = [[x] if x >= 0 else [self.bytes[y] for y in chr(c).encode("utf-8", "surrogatepass")] for x, c in zip(ids.tolist(), self.cp[on != -1].tolist(), strict=True)]
+            raw = [[x] if x >= 0 else [self.bytes[y] for y in chr(c).encode("utf-8", "surrogatepass")] for x, c in zip(ids.tolist(), self.cp[at[on != -1]].tolist(), strict=True)]
             ids = np.array([y for x in raw for y in x])
         run = np.append(0, np.cumsum(count))
-        return np.minimum(log_p, 0.0), run[self.end] - run[self.begin], ids
+        return np.minimum(log_p, 0.0), run[end] - run[begin], ids
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         on, cur, stop = np.full(len(self.cp), -1, np.int64), self.begin, self.end
@@ -358,12 +406,16 @@ class Short:
             cur = cur + k + 1
             go = cur < stop
             cur, stop = cur[go], stop[go]
-        return self.out(on, np.log(self.top[self.begin] / self.total[self.begin]))
+        return self.out(on, np.arange(len(on)), self.begin, self.end, np.log(self.top[self.begin] / self.total[self.begin]))
 
-    def other(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each chunk, drawn from all but its best."""
+    def other(self, seeds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation of each chunk that ``which`` numbers, drawn from all but its best."""
         n = len(self.p)
-        on, cur, who = np.full(len(self.cp), -1, np.int64), self.begin, np.arange(len(self.begin))
+        cur, stop, who = self.begin[which], self.end[which], np.arange(len(which))
+        size = stop - cur
+        begin = np.cumsum(size) - size
+        at = np.repeat(cur - begin, size) + np.arange(int(size.sum()))  # every draw has places of its own
+        on, shift = np.full(len(at), -1, np.int64), begin - cur
         same, log_p, seed = np.ones(len(cur), bool), np.zeros(len(cur)), seeds.astype(np.uint64)
         while len(cur):
             to = np.minimum(cur + np.arange(1, n + 1)[:, None], len(self.total) - 1)
@@ -378,12 +430,12 @@ class Short:
             u = ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 * run[-1]
             k = np.minimum((run <= u).sum(axis=0), n - 1)
             log_p[who] += np.log(q[k, col])
-            on[cur] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur] - 1)
+            on[cur + shift[who]] = np.where((k == 0) & self.single[cur], -2, self.piece[k, cur] - 1)
             same &= k == best
             cur = cur + k + 1
-            go = cur < self.end[who]
+            go = cur < stop[who]
             cur, who, same, seed = cur[go], who[go], same[go], seed[go]
-        return self.out(on, log_p)
+        return self.out(on, at, begin, begin + size, log_p)
 
 
 def uniform(seed: np.ndarray, draw: int, at: np.ndarray, what: int) -> np.ndarray:
@@ -403,8 +455,8 @@ def mixed(x: int) -> int:
 class Search:
     """The draws of a batch of texts.  A path is an array with the segmentation of every chunk of the batch."""
 
-    def __init__(self, lattice: Sampler, keys: np.ndarray, chunks: list[str], first: np.ndarray, counts: np.ndarray):
-        self.lattice, self.keys, self.chunks, self.first = lattice, keys, chunks, first
+    def __init__(self, lattice: Sampler, keys: np.ndarray, names: list[str], code: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        self.lattice, self.keys, self.names, self.code, self.first = lattice, keys, names, code, first
         self.bounds = np.append(0, np.cumsum(counts))
         self.doc = np.repeat(np.arange(len(counts)), counts)
         self.order = np.arange(len(first)) - self.bounds[self.doc]
@@ -414,7 +466,7 @@ class Search:
         return ((mixed(x ^ (int(self.order[m]) * 0xD1342543DE82EF95 & (1 << 64) - 1)) >> 11) + 0.5) * 2.0**-53
 
     def other(self, draw: int, m: int, taken: list[Path]) -> int:
-        lp, path = self.lattice.another(self.chunks[m], taken, int(self.number(draw, m, 3) * (1 << 53)))
+        lp, path = self.lattice.another(self.names[self.code[m]], taken, int(self.number(draw, m, 3) * (1 << 53)))
         return self.lattice.enter(np.array([lp]), np.array([len(path)]), np.array(path))
 
     def fill(self, draw: int, at: np.ndarray, path: np.ndarray) -> None:
@@ -423,7 +475,7 @@ class Search:
         u = uniform(self.keys[self.doc[at]], draw, self.order[at], 1)
         rare = at[u >= np.exp(self.lattice.log_p.view()[path[at]])]
         seeds = uniform(self.keys[self.doc[rare]], draw, self.order[rare], 3) * 2.0**53
-        path[rare] = self.lattice.others([self.chunks[m] for m in rare.tolist()], seeds.astype(np.uint64))
+        path[rare] = self.lattice.others(self.names, self.code[rare], seeds.astype(np.uint64))
 
     def below(self, mu: np.ndarray, g: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Gumbel numbers at ``mu`` truncated at ``g``."""
